@@ -86,7 +86,8 @@ def deltas(track: dict[str, Column], centre: dict[str, Column]) -> Column:
             F.struct(
                 F.lit(i).alias("ord"),
                 F.lit(f).alias("feature"),
-                (track[f] - centre[f]).alias("delta"),
+                # Means carry noise from the order of summation; cut it off.
+                F.round(track[f] - centre[f], 9).alias("delta"),
             )
             for i, f in enumerate(EXPLAINED)
         ]

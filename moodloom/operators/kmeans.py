@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from moodloom.functions.columns import distance, dot
 from moodloom.operators.grouping import top_in_group
 from moodloom.operators.vectors import mean_vectors
-from moodloom.session import settle
+from moodloom.session import settle, settle_in_place
 
 BLOCK_ROWS = 1024
 EXACT_ROWS = 2000
@@ -27,17 +27,23 @@ EXACT_ROWS = 2000
 def pack(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(playlist_id, block, n, blocks, rows): blocks of bounded size, settled.
 
+    ``n``, the size of the playlist, is taken from ``vectors`` if it is there.
     Every track goes to a block by its hash; the number of blocks follows the
-    size of the playlist.
+    size of the playlist. The explicit partitioning survives the checkpoint,
+    so later joins on (playlist_id, block) do not move the blocks again.
     """
-    size = vectors.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("n"))
-    keyed = (
-        vectors.join(size, "playlist_id")
-        .withColumn("blocks", F.ceil(F.col("n") / block_rows))
-        .withColumn("block", F.pmod(F.xxhash64("track_id"), F.col("blocks")))
+    spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if "n" not in vectors.columns:
+        size = vectors.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("n"))
+        vectors = settle(vectors.join(size, "playlist_id"))
+    keyed = vectors.withColumn("blocks", F.ceil(F.col("n") / block_rows)).withColumn(
+        "block", F.pmod(F.xxhash64("track_id"), F.col("blocks"))
     )
-    return settle(
-        keyed.groupBy("playlist_id", "block").agg(
+    return settle_in_place(
+        keyed.repartition(parts, "playlist_id", "block")
+        .groupBy("playlist_id", "block")
+        .agg(
             F.first("n").alias("n"),
             F.first("blocks").alias("blocks"),
             F.collect_list(F.struct("track_id", "pos", "vec")).alias("rows"),
@@ -105,24 +111,29 @@ def seeds(
         "restart",
         (F.col("cid") - 1).cast("int").alias("cid"),
         "center",
-        F.lit(None).cast("double").alias("inertia"),
+        "blocks",
     )
 
 
-def _on_blocks(blocks: DataFrame, centers: DataFrame) -> DataFrame:
-    """Each block with all centres of its playlist (a bounded array).
-
-    The centres travel to the blocks; the settled blocks stay where they are.
-    """
-    held = centers.groupBy("playlist_id").agg(
-        F.array_sort(F.collect_list(F.struct("k", "restart", "cid", "center"))).alias("cents")
+def gather(centers: DataFrame) -> DataFrame:
+    """State of the search: one row per playlist with all its centres, at most
+    restarts x (3 + ... + 8) vectors."""
+    return centers.groupBy("playlist_id").agg(
+        F.first("blocks").alias("blocks"),
+        F.array_sort(F.collect_list(F.struct("k", "restart", "cid", "center"))).alias("cents"),
     )
-    spread = (
-        held.join(blocks.groupBy("playlist_id").agg(F.first("blocks").alias("_b")), "playlist_id")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)))
-        .drop("_b")
+
+
+def _on_blocks(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """Each block with the centres of its playlist. The centres travel to the
+    blocks; the blocks stay where they are."""
+    spread = state.select(
+        "playlist_id",
+        "cents",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
     )
-    return blocks.join(spread, ["playlist_id", "block"])
+    joined = blocks.join(spread.hint("shuffle_hash"), ["playlist_id", "block"])
+    return joined.select("playlist_id", "block", "rows", "cents")
 
 
 def _matrix(values, row: int):
@@ -146,21 +157,20 @@ def _sets(cents):
     return [(int(k[a]), int(r[a]), a, b) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _list(vectors):
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int32)
-    flat = np.concatenate(vectors) if len(vectors) else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()))
+def lloyd_round(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """One assignment and update for every playlist in ``state``.
 
-
-def lloyd_round(blocks: DataFrame, centers: DataFrame) -> DataFrame:
-    """One assignment and update; an empty cluster keeps its centre."""
+    A block sends one row per centre: size, sum of squared distances, mean of
+    its members. Block 0 also sends the old centre, which an empty cluster
+    keeps. Spark combines the rows per task before it shuffles them.
+    """
     pid_type = to_arrow_type(blocks.schema["playlist_id"].dataType)
     pid_sql = blocks.schema["playlist_id"].dataType.simpleString()
 
     def partial(batches):
         for batch in batches:
-            pids, ks, rs, cs, cnt, inert, means = [], [], [], [], [], [], []
-            rows, cents = batch.column("rows"), batch.column("cents")
+            pids, ks, rs, cs, cnt, far, means, olds = [], [], [], [], [], [], [], []
+            rows, cents, block = batch.column("rows"), batch.column("cents"), batch.column("block")
             for i in range(batch.num_rows):
                 _, x = _matrix(rows, i)
                 held, c = _matrix(cents, i)
@@ -170,87 +180,85 @@ def lloyd_round(blocks: DataFrame, centers: DataFrame) -> DataFrame:
                     best = d2[np.arange(len(x)), a + label]
                     one = (label[:, None] == np.arange(b - a)[None, :]).astype(float)
                     size = one.sum(0)
-                    sums = one.T @ x
-                    far = one.T @ best
-                    for j in np.flatnonzero(size):
-                        pids.append(batch.column("playlist_id")[i].as_py())
-                        ks.append(k)
-                        rs.append(r)
-                        cs.append(int(j))
-                        cnt.append(size[j])
-                        inert.append(far[j])
-                        means.append(sums[j] / size[j])
+                    ks += [k] * (b - a)
+                    rs += [r] * (b - a)
+                    cs += range(b - a)
+                    cnt.append(size)
+                    far.append(one.T @ best)
+                    means.append((one.T @ x) / np.maximum(size, 1)[:, None])
+                pids += [batch.column("playlist_id")[i].as_py()] * len(c)
+                olds += list(c) if block[i].as_py() == 0 else [None] * len(c)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(pids, pid_type),
                     pa.array(ks, pa.int32()),
                     pa.array(rs, pa.int32()),
                     pa.array(cs, pa.int32()),
-                    pa.array(cnt, pa.float64()),
-                    pa.array(inert, pa.float64()),
-                    _list(means),
+                    pa.array(np.concatenate(cnt) if cnt else [], pa.float64()),
+                    pa.array(np.concatenate(far) if far else [], pa.float64()),
+                    pa.array([v for m in means for v in m], pa.list_(pa.float64())),
+                    pa.array(olds, pa.list_(pa.float64())),
                 ],
-                names=["playlist_id", "k", "restart", "cid", "cnt", "far", "part"],
+                names=["playlist_id", "k", "restart", "cid", "cnt", "far", "part", "old"],
             )
 
-    parts = _on_blocks(blocks, centers).select("playlist_id", "rows", "cents").mapInArrow(
+    parts = _on_blocks(blocks, state).mapInArrow(
         partial,
         f"playlist_id {pid_sql}, k int, restart int, cid int, cnt double, far double,"
-        " part array<double>",
+        " part array<double>, old array<double>",
     )
-    keys = ["playlist_id", "k", "restart", "cid"]
     moved = mean_vectors(
-        parts, keys, "part", "fresh", F.col("cnt"), F.sum("far").alias("far")
-    )
-    return centers.drop("inertia").join(moved, keys, "left").select(
-        *keys,
-        F.coalesce("fresh", "center").alias("center"),
-        F.col("center").alias("old"),
-        F.coalesce("far", F.lit(0.0)).alias("inertia"),
+        parts,
+        ["playlist_id", "k", "restart", "cid"],
+        "part",
+        "fresh",
+        F.col("cnt"),
+        F.sum("cnt").alias("size"),
+        F.sum("far").alias("far"),
+        F.first("old", ignorenulls=True).alias("old"),
+    ).withColumn("center", F.when(F.col("size") > 0, F.col("fresh")).otherwise(F.col("old")))
+    moved = moved.withColumn("shift", distance(F.col("center"), F.col("old")))
+    return moved.groupBy("playlist_id").agg(
+        F.array_sort(F.collect_list(F.struct("k", "restart", "cid", "center", "far"))).alias("cents"),
+        F.max("shift").alias("shift"),
     )
 
 
-def lloyd(blocks: DataFrame, start: DataFrame, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
+def lloyd(
+    blocks: DataFrame, start: DataFrame, sizes: DataFrame, max_iter: int = 20, tol: float = 1e-4
+) -> DataFrame:
     """Rounds until every playlist has converged or ``max_iter`` is reached.
 
     Converged playlists leave the loop, so late rounds touch only what still
-    moves. The centres (some dozens of vectors per playlist) are settled after
-    each round. Only one flag per round comes to the driver.
+    moves. The state (one bounded row per playlist) is settled after each
+    round; only one flag per round comes to the driver.
     """
-    active = settle(start)
-    done = None
+    active, done = start, None
     for turn in range(max_iter):
-        stepped = settle(
-            lloyd_round(blocks, active)
-            .withColumn("shift", distance(F.col("center"), F.col("old")))
-            .drop("old")
-        )
-        still = stepped.groupBy("playlist_id").agg((F.max("shift") > tol).alias("moving"))
-        marked = stepped.drop("shift").join(still, "playlist_id")
-        ready = marked.filter(~F.col("moving")).drop("moving")
+        stepped = settle(lloyd_round(blocks, active).join(sizes, "playlist_id"))
+        last = turn + 1 == max_iter
+        ready = stepped if last else stepped.filter(F.col("shift") <= tol)
         done = ready if done is None else done.unionByName(ready)
-        active = marked.filter("moving").drop("moving")
-        if turn + 1 == max_iter:
-            return done.unionByName(active)
-        if active.isEmpty():
-            return done
-    return active
-
-
-def best_restart(centers: DataFrame) -> DataFrame:
-    """Centres of the restart with the least inertia per (playlist, k)."""
-    total = centers.groupBy("playlist_id", "k", "restart").agg(
-        F.round(F.sum("inertia"), 9).alias("total")
+        active = stepped.filter(F.col("shift") > tol)
+        if last or active.isEmpty():
+            break
+    return done
+
+
+def best_restart(state: DataFrame) -> DataFrame:
+    """The centres of the restart with the least inertia for each k."""
+    flat = state.select("playlist_id", "blocks", F.explode("cents").alias("c")).select(
+        "playlist_id", "blocks", "c.*"
     )
-    best = total.groupBy("playlist_id", "k").agg(F.min(F.struct("total", "restart")).alias("b"))
-    return centers.join(
-        best.select("playlist_id", "k", F.col("b.restart").alias("restart")),
-        ["playlist_id", "k", "restart"],
-        "left_semi",
+    total = flat.groupBy("playlist_id", "k", "restart").agg(
+        F.round(F.sum("far"), 9).alias("total")
     )
+    best = total.groupBy("playlist_id", "k").agg(F.min(F.struct("total", "restart")).alias("b"))
+    keep = best.select("playlist_id", "k", F.col("b.restart").alias("restart"))
+    return gather(flat.join(keep, ["playlist_id", "k", "restart"], "left_semi"))
 
 
-def label(blocks: DataFrame, centers: DataFrame, keep_vec: bool = False) -> DataFrame:
+def label(blocks: DataFrame, state: DataFrame, keep_vec: bool = False) -> DataFrame:
     """(playlist_id, track_id, pos, [vec], labels): labels is (k, cluster_id)
     for every k of the playlist, one row per track."""
     rows_type = blocks.schema["rows"].dataType.elementType
@@ -291,7 +299,7 @@ def label(blocks: DataFrame, centers: DataFrame, keep_vec: bool = False) -> Data
         f"playlist_id {pid_sql}, track_id {types['track_id'].simpleString()},"
         f" pos {types['pos'].simpleString()}, labels array<struct<k: int, cluster_id: int>>"
     ) + (", vec array<double>" if keep_vec else "")
-    return _on_blocks(blocks, centers).select("playlist_id", "rows", "cents").mapInArrow(assign, ddl)
+    return _on_blocks(blocks, state).mapInArrow(assign, ddl)
 
 
 def silhouette_exact(labelled: DataFrame) -> DataFrame:
@@ -442,6 +450,6 @@ def search(vectors, k_min=3, k_max=8, restarts=3, max_iter=20, tol=1e-4, seed=42
     """(labelled, candidates): every track with its cluster for every k."""
     blocks = pack(vectors)
     cand = candidates(blocks, k_min, k_max)
-    start = seeds(blocks, cand, restarts, max(k_max, 2), seed)
-    centers = lloyd(blocks, start, max_iter, tol)
-    return settle(label(blocks, best_restart(centers), keep_vec=True)), cand
+    start = settle(gather(seeds(blocks, cand, restarts, max(k_max, 2), seed)))
+    state = lloyd(blocks, start, start.select("playlist_id", "blocks"), max_iter, tol)
+    return settle(label(blocks, best_restart(state), keep_vec=True)), cand

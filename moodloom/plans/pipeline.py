@@ -55,7 +55,7 @@ class Analysis:
         if self._assign is not None:
             return self._assign(self.library)
         found = kmeans.cluster(
-            self.vectors.select("playlist_id", "track_id", "pos", "vec"), **self._search
+            self.vectors.select("playlist_id", "track_id", "pos", "n", "vec"), **self._search
         )
         return settle(found.select("playlist_id", "track_id", "cluster_id"))
 

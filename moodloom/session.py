@@ -32,3 +32,19 @@ def settle(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle_in_place(df: DataFrame) -> DataFrame:
+    """``settle`` that also keeps the hash partitioning of ``df``.
+
+    An adaptive plan reports no partitioning, so a later join on the same keys
+    would move the settled rows again. The adaptive mode is off only while
+    this one write is planned; ``df`` has to be evenly partitioned already.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settle(df.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
