@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from moodloom.checks.ctes import with_ctes as sql
 from moodloom.checks.registry import query, r6
+from moodloom.functions.columns import MOODS
 from moodloom.operators import compare, recommend
 from moodloom.operators.reports import presence_matrix
 from moodloom.plans.pipeline import aggregate, analyze
@@ -359,9 +360,9 @@ def d5(s):
 
 @query(
     "M10_presence_matrix",
-    sql("""SELECT label, CAST(sum(size) FILTER (playlist_id = 0) AS BIGINT) AS "0", CAST(sum(size) FILTER (playlist_id = 1) AS BIGINT) AS "1",
-      CAST(sum(size) FILTER (playlist_id = 2) AS BIGINT) AS "2" FROM clusters WHERE kept GROUP BY 1"""),
+    sql("SELECT playlist_id, "
+        + ", ".join(f"CAST(sum(size) FILTER (label = '{m}') AS BIGINT) AS {m}" for m in MOODS)
+        + " FROM clusters WHERE kept GROUP BY 1"),
 )
 def m10_matrix(s):
-    """The matrix of three playlists a user selected."""
-    return presence_matrix(s.clusters, [0, 1, 2])
+    return presence_matrix(s.clusters)

@@ -12,6 +12,15 @@ from moodloom.schema import EXPLAINED
 TOKEN = r"[\p{L}\p{N}_](?:[^\t-\r\x1c-\x20\x{85}\p{Z}]*[\p{L}\p{N}_])?"
 
 
+# All labels the rules below can give.
+MOODS = tuple(
+    f"{e}_energy_{v}{t}"
+    for e in ("low", "medium", "high")
+    for v in ("sad", "neutral", "happy")
+    for t in ("_slow", "", "_fast")
+)
+
+
 def number(c: Column) -> Column:
     """Value as double; null when it is missing, unparseable or NaN."""
     x = c.try_cast("double")

@@ -101,6 +101,19 @@ def percentile_rank(scored: DataFrame) -> DataFrame:
     )
 
 
+def average_ranks(scored: DataFrame) -> DataFrame:
+    """Adds ``rn`` (rank by falling score) and ``low`` (mean rank among equal
+    scores, smallest first) within the playlist."""
+    order = [F.desc("anomaly_score"), F.asc("pos"), F.asc("track_id")]
+    ranked = rank_in_group(scored, ["playlist_id"], order)
+    size = scored.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("_m"))
+    ranked = ranked.join(size, "playlist_id")
+    tie = ranked.groupBy("playlist_id", "anomaly_score").agg(
+        F.avg(F.col("_m") - F.col("rn") + 1).alias("low")
+    )
+    return ranked.join(tie, ["playlist_id", "anomaly_score"]).drop("_m")
+
+
 def audio_means(assigned: DataFrame) -> DataFrame:
     """(playlist_id, cluster_id, size, nine raw means, null_means)."""
     means = assigned.groupBy("playlist_id", "cluster_id").agg(

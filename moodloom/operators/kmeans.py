@@ -79,7 +79,10 @@ def seeds(
     The few winners then fetch their vectors from the blocks they lie in.
     """
     points = blocks.select("playlist_id", F.explode("rows").alias("r")).select(
-        "playlist_id", F.col("r.track_id").alias("track_id"), F.xxhash64("r.vec").alias("_same")
+        "playlist_id",
+        F.col("r.track_id").alias("track_id"),
+        # Vectors equal to nine digits count as copies.
+        F.xxhash64(F.transform("r.vec", lambda x: F.round(x, 9))).alias("_same"),
     )
     first = (
         points.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
@@ -145,7 +148,10 @@ def _matrix(values, row: int):
 
 
 def _squared(x, c):
-    return np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :], 0.0)
+    """Squared distances. Cut to nine digits, so that equal distances tie and
+    the lower cluster id wins whatever the order of summation was."""
+    far = (x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :]
+    return np.round(np.maximum(far, 0.0), 9)
 
 
 def _sets(cents):
@@ -317,7 +323,7 @@ def silhouette_exact(labelled: DataFrame) -> DataFrame:
         flat = labels.flatten()
         ks = flat.field("k").to_numpy(zero_copy_only=False).reshape(len(table), -1)
         cl = flat.field("cluster_id").to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        d = np.sqrt(_squared(x, x))
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ x.T) + (x * x).sum(1)[None, :], 0.0))
         np.fill_diagonal(d, 0.0)
         out_k, out_s = [], []
         for j in range(ks.shape[1]):

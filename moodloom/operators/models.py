@@ -20,6 +20,18 @@ def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
     return free * np.log(n) - 2.0 * log_likelihood
 
 
+def single_gaussian(rows: DataFrame, features: list[str]) -> float:
+    """Log likelihood of one Gaussian with the covariance of the rows."""
+    d = len(features)
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    got = rows.agg(F.count(F.lit(1)), *[F.covar_pop(features[i], features[j]) for i, j in upper]).first()
+    cov = np.zeros((d, d))
+    for (i, j), v in zip(upper, got[1:]):
+        cov[i, j] = cov[j, i] = v
+    sign, logdet = np.linalg.slogdet(cov)
+    return -np.inf if sign <= 0 else -got[0] / 2 * (d * np.log(2 * np.pi) + logdet + d)
+
+
 def gaussian_mixture(
     rows: DataFrame, features: list[str], k_max: int = 7, restarts: int = 10, max_iter: int = 100, seed: int = 42
 ):
@@ -28,11 +40,12 @@ def gaussian_mixture(
     skipped."""
     data = settle(rows.withColumn("_v", array_to_vector(F.array(*[F.col(f) for f in features]))))
     n, d = data.count(), len(features)
-    bics, best = {}, None
-    for k in range(1, min(k_max, n) + 1):
+    # One component has a closed form; the library starts at two.
+    alone = single_gaussian(data, features)
+    bics, best = {1: bic(alone, 1, d, n)}, (bic(alone, 1, d, n), None)
+    for k in range(2, min(k_max, n) + 1):
         top = None
-        # With one component every start gives the same fit.
-        for turn in range(restarts if k > 1 else 1):
+        for turn in range(restarts):
             try:
                 m = GaussianMixture(
                     k=k, featuresCol="_v", seed=seed + turn, maxIter=max_iter, tol=1e-3
@@ -46,11 +59,13 @@ def gaussian_mixture(
         if top is None:
             continue
         bics[k] = bic(top.summary.logLikelihood, k, d, n)
-        if best is None or bics[k] < best[0]:
+        if bics[k] < best[0]:
             best = (bics[k], top)
-    if best is None:
-        raise ValueError("no mixture could be fitted")
-    labelled = best[1].transform(data).withColumn("probability", vector_to_array("probability")).drop("_v")
+    if best[1] is None:
+        labelled = data.withColumn("prediction", F.lit(0)).withColumn("probability", F.array(F.lit(1.0)))
+    else:
+        labelled = best[1].transform(data).withColumn("probability", vector_to_array("probability"))
+    labelled = labelled.drop("_v")
     sizes = labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("size"))
     return labelled, sizes, bics
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.functions.columns import severity
+from moodloom.functions.columns import MOODS, severity
 from moodloom.operators.grouping import top_in_group
 from moodloom.schema import DISPLAY_RANGE, FEATURES
 
@@ -154,9 +154,10 @@ def presence(clusters: DataFrame) -> DataFrame:
     return clusters.filter("kept").groupBy("label", "playlist_id").agg(F.sum("size").alias("size"))
 
 
-def presence_matrix(clusters: DataFrame, playlist_ids: list) -> DataFrame:
-    """The same as a matrix, for the playlists somebody selected."""
-    return presence(clusters).groupBy("label").pivot("playlist_id", playlist_ids).agg(F.first("size"))
+def presence_matrix(clusters: DataFrame) -> DataFrame:
+    """The same as a matrix: one row per playlist, one column per mood. The
+    moods are a fixed set, so the width does not grow with the data."""
+    return presence(clusters).groupBy("playlist_id").pivot("label", list(MOODS)).agg(F.first("size"))
 
 
 def label_spread(clusters: DataFrame) -> DataFrame:
