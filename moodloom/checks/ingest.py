@@ -482,11 +482,19 @@ def c6(s):
     return state.resolve(stored, words.groupBy("track_id").agg(F.count(F.lit(1)).alias("uses")))
 
 
-@query("C7_of_user", sql("SELECT * FROM old_rec WHERE user_id = 8", _REC))
+_GONE = {**_REC, "gone": "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 150"}
+
+
+def gone_users(s):
+    """Users with a costly error: the ones to be cleared."""
+    return s.read("events").filter("event_type = 'error' AND value > 150").select("user_id").distinct()
+
+
+@query("C7_of_users", sql("SELECT * FROM old_rec WHERE user_id IN (SELECT user_id FROM gone)", _GONE))
 def c7(s):
-    return state.of_user(records(s, "value < 60"), 8)
+    return state.of_users(records(s, "value < 60"), gone_users(s))
 
 
-@query("C7_clear_user", sql("SELECT * FROM old_rec WHERE user_id <> 8", _REC))
+@query("C7_clear_users", sql("SELECT * FROM old_rec WHERE user_id NOT IN (SELECT user_id FROM gone)", _GONE))
 def c7b(s):
-    return state.without_user(records(s, "value < 60"), 8)
+    return state.without_users(records(s, "value < 60"), gone_users(s))

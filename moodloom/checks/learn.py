@@ -20,7 +20,7 @@ def _lloyd_sql(points: str, ks: str) -> dict[str, str]:
         "pts": points,
         "start": """SELECT playlist_id, arg_min(vec, md5('42:0:' || track_id)) AS vec,
             row_number() OVER (PARTITION BY playlist_id ORDER BY min(md5('42:0:' || track_id))) AS r
-            FROM pts GROUP BY playlist_id, list_transform(vec, lambda x: round(x, 9) + 0e0)""",
+            FROM pts GROUP BY playlist_id, list_transform(vec, lambda x: floor(x * 1e9 + 5e-1))""",
         "c0": f"""SELECT playlist_id, k, CAST(r - 1 AS INT) AS cid, vec FROM start, (SELECT unnest({ks}) AS k) WHERE r <= k""",
     }
     for i in range(ROUNDS + 1):

@@ -248,10 +248,15 @@ def r7c(s):
     return recommend.clean_results(results, _parts(s)[1], ["call"])
 
 
-@query("R8_empty_input", sql("SELECT playlist_id, cluster_id, track_id FROM rows WHERE false"))
+@query(
+    "R8_per_playlist",
+    sql("""SELECT p.playlist_id, p.name, coalesce(c, 0) AS clusters, coalesce(n, 0) AS recommendations FROM playlists p
+      LEFT JOIN (SELECT playlist_id, count(DISTINCT cluster_id) AS c, count(*) AS n FROM given GROUP BY 1) USING (playlist_id)""", _REC),
+)
 def r8(s):
-    none = s.tracks.filter(F.col("label") == "")
-    return recommend.recommend(none, s.clusters, s.source_tracks).select("playlist_id", "cluster_id", "track_id")
+    """One row per playlist of the result set, also without any cluster."""
+    recs = recommend.recommend(s.tracks, s.clusters, s.source_tracks)
+    return recommend.per_playlist(recs, s.playlists)
 
 
 @query(

@@ -50,7 +50,9 @@ def library(items: DataFrame, tracks: DataFrame) -> DataFrame:
         *[number(F.col("audio_features")[f]).alias(f) for f in FEATURES],
     )
     known = known.withColumn("eligible", eligible())
-    return items.join(known, "track_id")
+    # A shuffle on the track keeps the entries, the large side, spread out; a
+    # low estimate would otherwise broadcast them and leave one task.
+    return items.join(known.hint("merge"), "track_id")
 
 
 def eligible():
@@ -138,11 +140,22 @@ def transform(lib: DataFrame, model: DataFrame) -> DataFrame:
     tagged = raw.withColumn("_len", norm(F.col("_raw"))).withColumn(
         "tag_vec", unit(F.col("_raw"), F.col("_len"))
     )
-    both = tagged.withColumn("_all", F.concat("audio", "tag_vec")).withColumn(
-        "_len", norm(F.col("_all"))
+    # The tag part has length 1 or 0, so the whole length needs the nine only.
+    square = sum((F.get("audio", F.lit(j)) * F.get("audio", F.lit(j)) for j in range(len(FEATURES))), F.lit(0.0))
+    both = tagged.withColumn(
+        "_len", F.sqrt(square + F.when(F.col("_len") > 0, 1.0).otherwise(0.0))
+    ).withColumn("_all", F.concat("audio", "tag_vec"))
+    # Titles, artists and the like stay in the library; vectors travel often.
+    return both.select(
+        "playlist_id",
+        "track_id",
+        "pos",
+        "n",
+        *FEATURES,
+        "audio",
+        "tag_vec",
+        unit(F.col("_all"), F.col("_len")).alias("vec"),
     )
-    keep = [c for c in lib.columns if c not in ("tf", "tags", "audio_features", "eligible")]
-    return both.select(*keep, "n", "audio", "tag_vec", unit(F.col("_all"), F.col("_len")).alias("vec"))
 
 
 def robust_scale(rows: DataFrame, features=FEATURES) -> DataFrame:

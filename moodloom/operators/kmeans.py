@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from moodloom.functions.columns import distance, dot
 from moodloom.operators.grouping import top_in_group
 from moodloom.operators.vectors import mean_vectors
-from moodloom.session import settle, settle_in_place
+from moodloom.session import cut, cut_in_place, settle
 
 BLOCK_ROWS = 1024
 EXACT_ROWS = 2000
@@ -40,7 +40,7 @@ def pack(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     keyed = vectors.withColumn("blocks", F.ceil(F.col("n") / block_rows)).withColumn(
         "block", F.pmod(F.xxhash64("track_id"), F.col("blocks"))
     )
-    return settle_in_place(
+    return cut_in_place(
         keyed.repartition(parts, "playlist_id", "block")
         .groupBy("playlist_id", "block")
         .agg(
@@ -82,7 +82,7 @@ def seeds(
         "playlist_id",
         F.col("r.track_id").alias("track_id"),
         # Vectors equal to nine digits count as copies.
-        F.xxhash64(F.transform("r.vec", lambda x: F.round(x, 9))).alias("_same"),
+        F.xxhash64(F.transform("r.vec", lambda x: F.floor(x * 1e9 + 0.5))).alias("_same"),
     )
     first = (
         points.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
@@ -241,7 +241,7 @@ def lloyd(
     """
     active, done = start, None
     for turn in range(max_iter):
-        stepped = settle(lloyd_round(blocks, active).join(sizes, "playlist_id"))
+        stepped = cut(lloyd_round(blocks, active).join(sizes, "playlist_id"))
         last = turn + 1 == max_iter
         ready = stepped if last else stepped.filter(F.col("shift") <= tol)
         done = ready if done is None else done.unionByName(ready)
@@ -456,6 +456,6 @@ def search(vectors, k_min=3, k_max=8, restarts=3, max_iter=20, tol=1e-4, seed=42
     """(labelled, candidates): every track with its cluster for every k."""
     blocks = pack(vectors)
     cand = candidates(blocks, k_min, k_max)
-    start = settle(gather(seeds(blocks, cand, restarts, max(k_max, 2), seed)))
+    start = cut(gather(seeds(blocks, cand, restarts, max(k_max, 2), seed)))
     state = lloyd(blocks, start, start.select("playlist_id", "blocks"), max_iter, tol)
     return settle(label(blocks, best_restart(state), keep_vec=True)), cand

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodloom.functions.columns import link_id
-from moodloom.operators.grouping import rank_in_group, top_in_group
+from moodloom.operators.grouping import keep_first, rank_in_group, top_in_group
 from moodloom.operators.knn import knn_join
 from moodloom.operators.reports import by_label
 from moodloom.operators.vectors import mean_vectors
@@ -114,12 +114,22 @@ def counts(recs: DataFrame, seed_rows: DataFrame) -> DataFrame:
     )
 
 
+def per_playlist(recs: DataFrame, playlists: DataFrame) -> DataFrame:
+    """Clusters served and recommendations of every playlist; 0 where the
+    playlist has nothing to recommend for."""
+    by_cluster = recs.groupBy("playlist_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    got = by_cluster.groupBy("playlist_id").agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("recommendations")
+    )
+    return playlists.select("playlist_id", "name").join(got, "playlist_id", "left").fillna(
+        0, ["clusters", "recommendations"]
+    )
+
+
 def clean_results(results: DataFrame, member_rows: DataFrame, order: list[str]) -> DataFrame:
     """Outside results: rows without an id, rows of the cluster itself and
     repeats (first kept) drop out."""
     keys = ["playlist_id", "cluster_id", "track_id"]
-    from moodloom.operators.grouping import keep_first
-
     named = results.filter(F.col("track_id").isNotNull())
     fresh = named.join(member_rows.select(*keys), keys, "left_anti")
     return keep_first(fresh, keys, order)

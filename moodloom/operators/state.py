@@ -74,10 +74,11 @@ def resolve(records: DataFrame, tracks: DataFrame) -> DataFrame:
     return entries.join(tracks, "track_id")
 
 
-def of_user(records: DataFrame, user_id) -> DataFrame:
-    return records.filter(F.col("user_id") == user_id)
+def of_users(records: DataFrame, users: DataFrame) -> DataFrame:
+    """All stored playlists of the given users."""
+    return records.join(users.select("user_id"), "user_id", "left_semi")
 
 
-def without_user(records: DataFrame, user_id) -> DataFrame:
-    """Playlists after a user is cleared; the shared tracks are not touched."""
-    return records.filter(F.col("user_id") != user_id)
+def without_users(records: DataFrame, users: DataFrame) -> DataFrame:
+    """Playlists after the users are cleared; the shared tracks are not touched."""
+    return records.join(users.select("user_id"), "user_id", "left_anti")

@@ -61,11 +61,15 @@ class Analysis:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return settle(self.vectors.join(self.assignment, ["playlist_id", "track_id"]))
+        return settle(self.vectors.drop("audio").join(self.assignment, ["playlist_id", "track_id"]))
+
+    @cached_property
+    def distances(self) -> DataFrame:
+        return settle(analysis.distances(self.assigned))
 
     @cached_property
     def scored(self) -> DataFrame:
-        return settle(analysis.scores(analysis.distances(self.assigned)))
+        return analysis.scores(self.distances)
 
     @cached_property
     def flagged(self) -> DataFrame:

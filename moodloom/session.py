@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,26 +26,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and read it from there on.
+    """Write ``df`` once as a Parquet table in the checkpoint folder.
 
-    Used where two branches must see the very same rows and partitions, and
-    between iterations, so that a lost executor never replays the lineage.
+    Used for tables that several results read, and where two branches must see
+    the very same rows. Later reads prune columns, know the real size, and a
+    lost executor never replays the lineage.
     """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for small states between iterations."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def settle_in_place(df: DataFrame) -> DataFrame:
-    """``settle`` that also keeps the hash partitioning of ``df``.
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """``cut`` that also keeps the hash partitioning of ``df``.
 
     An adaptive plan reports no partitioning, so a later join on the same keys
-    would move the settled rows again. The adaptive mode is off only while
-    this one write is planned; ``df`` has to be evenly partitioned already.
+    would move the rows again. The adaptive mode is off only while this one
+    write is planned; ``df`` has to be evenly partitioned already.
     """
     spark = df.sparkSession
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return settle(df.select("*"))
+        return cut(df.select("*"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
