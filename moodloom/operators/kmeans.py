@@ -218,7 +218,8 @@ def lloyd_round(blocks: DataFrame, state: DataFrame) -> DataFrame:
         ["playlist_id", "k", "restart", "cid"],
         "part",
         "fresh",
-        F.col("cnt"),
+        # The summarizer wants some weight even for a centre without members.
+        F.greatest(F.col("cnt"), F.lit(1e-300)),
         F.sum("cnt").alias("size"),
         F.sum("far").alias("far"),
         F.first("old", ignorenulls=True).alias("old"),
@@ -393,7 +394,7 @@ def silhouette_moments(points: DataFrame) -> DataFrame:
         .withColumn(
             "b", F.array_min(F.transform(F.filter("far", lambda c: c["cid"] != F.col("cluster_id")), lambda c: c["d"]))
         )
-        .withColumn("a", F.col("own.d") * F.col("own.size") / (F.col("own.size") - 1))
+        .withColumn("a", F.col("own.d") * F.col("own.size") / F.nullif(F.col("own.size") - 1, F.lit(0)))
     )
     s = F.when(F.col("own.size") == 1, F.lit(0.0)).otherwise(
         F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
