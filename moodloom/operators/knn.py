@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from moodloom.operators.grouping import top_in_group
 from moodloom.session import settle
 
-BLOCK = 512
+BLOCK = 1024
 QUERY_BLOCK = 256
 
 
@@ -90,8 +90,10 @@ def knn_join(queries: DataFrame, catalog: DataFrame, members: DataFrame, k: int
     numbered = placed.join(F.broadcast(size), "cell").withColumn(
         "block", F.pmod(F.xxhash64("track_id"), F.ceil(F.col("cell_rows") / BLOCK))
     )
-    blocks = numbered.groupBy("cell", "block").agg(
-        F.array_sort(F.collect_list(F.struct("track_id", "vec"))).alias("rows")
+    blocks = settle(
+        numbered.groupBy("cell", "block").agg(
+            F.array_sort(F.collect_list(F.struct("track_id", "vec"))).alias("rows")
+        )
     )
     at_home = numbered.select("track_id", "cell", "block")
     left_out = (
@@ -150,10 +152,13 @@ def knn_join(queries: DataFrame, catalog: DataFrame, members: DataFrame, k: int
         visit,
         f"playlist_id {pid.simpleString()}, qblock bigint, asks {ask_ddl}, cells array<int>",
     )
+    # Block keys and members come first, the block rows last: only the queries
+    # travel to a block, its rows are never shuffled along with them.
     met = (
-        routed.select("playlist_id", "qblock", "asks", F.explode("cells").alias("cell"))
-        .join(blocks, "cell")
+        routed.select("playlist_id", "asks", F.explode("cells").alias("cell"))
+        .join(blocks.select("cell", "block"), "cell")
         .join(left_out, ["playlist_id", "cell", "block"], "left")
+        .join(blocks, ["cell", "block"])
         .select("playlist_id", "asks", "rows", "skip")
     )
 
@@ -172,18 +177,20 @@ def knn_join(queries: DataFrame, catalog: DataFrame, members: DataFrame, k: int
                         by_part.setdefault(p, []).append(at[t])
                     for p, cols in by_part.items():
                         d[np.ix_(np.flatnonzero(parts == p), cols)] = np.inf
-                # Rows lie in id order and the sort is stable: ties go by id.
-                top = d.argsort(1, kind="stable")[:, :k]
-                got = np.take_along_axis(d, top, 1)
-                who, col = np.nonzero(np.isfinite(got))
+                # The k nearest of the block; rows lie in id order, ties go by id.
+                m = min(k, d.shape[1])
+                edge = np.partition(d, m - 1, axis=1)[:, m - 1][:, None]
+                less, tie = d < edge, d == edge
+                room = m - less.sum(1)[:, None]
+                who, col = np.nonzero((less | (tie & (tie.cumsum(1) <= room))) & np.isfinite(d))
                 n = len(who)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column("playlist_id")[i].as_py()] * n, to_arrow_type(pid)),
                         asks.field("part").take(pa.array(who)),
                         asks.field("qid").take(pa.array(who)),
-                        rows.field("track_id").take(pa.array(top[who, col])),
-                        pa.array(got[who, col]),
+                        rows.field("track_id").take(pa.array(col)),
+                        pa.array(d[who, col]),
                     ],
                     names=["playlist_id", "part", "qid", "track_id", "distance"],
                 )
