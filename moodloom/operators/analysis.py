@@ -140,7 +140,9 @@ def top_tags(assigned: DataFrame, model: DataFrame, k: int = 8) -> DataFrame:
     Means are combined as dense buffers of at most 200 numbers; the top ``k``
     is then taken inside the row, so no term row is shuffled.
     """
-    mean = mean_vectors(assigned, ["playlist_id", "cluster_id"], "tag_vec", "tag_mean")
+    # A playlist without any tag has vectors of length 0 and no tag rows.
+    tagged = assigned.filter(F.size("tag_vec") > 0)
+    mean = mean_vectors(tagged, ["playlist_id", "cluster_id"], "tag_vec", "tag_mean")
     named = mean.join(model.select("playlist_id", "vocab"), "playlist_id").withColumn(
         "tags",
         F.zip_with(

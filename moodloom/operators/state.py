@@ -59,9 +59,11 @@ def upsert_tracks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(incoming.select(*stored.columns))
 
 
-def replace_playlists(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Full replacement of the rows of every incoming (user_id, playlist_id)."""
-    keys = ["user_id", "playlist_id"]
+def replace_playlists(
+    stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("user_id", "playlist_id")
+) -> DataFrame:
+    """Full replacement of the rows of every incoming key."""
+    keys = list(keys)
     kept = stored.join(incoming.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(incoming.select(*stored.columns))
 

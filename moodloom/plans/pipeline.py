@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodloom.operators import analysis, features, kmeans
+from moodloom.operators.state import replace_playlists
 from moodloom.session import settle
 
 
@@ -118,6 +119,13 @@ def analyze(playlists: DataFrame, items: DataFrame, tracks: DataFrame, **params)
     return Analysis(playlists, items, tracks, **params)
 
 
+def refresh(saved: DataFrame, fresh: DataFrame) -> DataFrame:
+    """A saved result table after some playlists were analysed again: their
+    rows are replaced, all others stay. Analyse the playlists that
+    ``state.changed_playlists`` marks ``fetch`` and refresh the rest with it."""
+    return replace_playlists(saved, fresh, ("playlist_id",))
+
+
 def aggregate(items: DataFrame) -> DataFrame:
     """All playlists as one virtual playlist, first occurrence of a track kept."""
     first = items.groupBy("track_id").agg(

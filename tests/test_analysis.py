@@ -167,3 +167,50 @@ def test_mean_similarity_equals_all_pairs(spark):
 def test_no_mood_selects_nothing(done):
     assert analysis.select_by_mood(done.tracks, done.playlists, "").count() == 0
     assert analysis.select_by_mood(done.tracks, done.playlists, "high_energy_happy").count() == 7
+
+
+def test_playlists_at_the_edges(spark):
+    """One track, two tracks without tags, tags only, nothing at all."""
+    rows = [
+        ("a", audio(energy=0.2), [("jazz", 40)]),
+        ("b", audio(energy=0.9, tempo=150.0), []),
+        ("c", audio(energy=0.1, tempo=70.0), []),
+        *[(f"t{i}", None, [(f"w{i % 2}", 60)]) for i in range(6)],
+        ("n", None, []),
+    ]
+    lists = {"one": ["a"], "two": ["b", "c"], "tags": [f"t{i}" for i in range(6)], "none": ["n"]}
+    a = analyze(names(spark, lists), items(spark, lists), tracks(spark, rows))
+    got = {r.playlist_id: r for r in a.summary.collect()}
+    assert (got["one"].num_clusters, got["one"].num_anomalies, got["one"].anomaly_score_cutoff) == (1, 1, 0.0)
+    assert (got["two"].num_clusters, got["two"].num_anomalies) == (2, 1)
+    assert (got["tags"].num_clusters, got["tags"].num_anomalies) == (0, 0)
+    assert got["tags"].num_excluded_insufficient_audio_cluster == 6
+    assert (got["none"].num_eligible, got["none"].num_excluded_missing_all) == (0, 1)
+    assert a.top_tags.filter("playlist_id = 'two'").count() == 0
+    digest = reports.digest(a.clusters, a.tracks, a.top_tags, a.summary)
+    assert {r.playlist_id for r in digest.collect()} == {"one", "two"}
+
+
+def test_hot_playlist_spans_tasks(spark):
+    """One playlist with most of the rows: its ranked rows lie in many tasks."""
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("playlist_id"),
+        F.col("id").alias("track_id"),
+        F.col("id").alias("pos"),
+        (F.col("id") % 997 / 997).alias("anomaly_score"),
+    )
+    n = rows.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("n"))
+    got = analysis.flag_fraction(rows.join(n, "playlist_id"))
+    flags = {r.playlist_id: r.f for r in got.groupBy("playlist_id").agg(F.count_if("flagged").alias("f")).collect()}
+    assert flags == {"hot": 4050, "cold": 450}
+    spread = rows.repartitionByRange(8, "playlist_id", "anomaly_score", "track_id")
+    tasks = spread.filter("playlist_id = 'hot'").select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks >= 6
+
+
+def test_refresh_replaces_whole_playlists(spark):
+    from moodloom.plans.pipeline import refresh
+
+    old = spark.createDataFrame([("p", "a", 1), ("p", "b", 1), ("q", "c", 1)], "playlist_id string, track_id string, v int")
+    new = spark.createDataFrame([("p", "a", 2)], "playlist_id string, track_id string, v int")
+    assert sorted(map(tuple, refresh(old, new).collect())) == [("p", "a", 2), ("q", "c", 1)]
