@@ -100,9 +100,8 @@ def i3(s):
     sql("SELECT playlist_id, track_id, pos, CAST(epoch(added_at) AS BIGINT) AS added FROM items"),
 )
 def i4(s):
-    return s.items.select(
-        "playlist_id", "track_id", "pos", F.unix_timestamp(F.col("added_at").cast("timestamp")).alias("added")
-    )
+    since = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', added_at)"
+    return s.items.select("playlist_id", "track_id", "pos", F.expr(since).alias("added"))
 
 
 @query(

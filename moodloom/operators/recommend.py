@@ -72,9 +72,22 @@ def chunk_vectors(seed_chunks: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def candidates(seed_chunks: DataFrame, member_rows: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` nearest catalog tracks of each chunk outside its cluster."""
-    asked = chunk_vectors(seed_chunks, catalog).select(
+def candidates(
+    seed_chunks: DataFrame, member_rows: DataFrame, catalog: DataFrame, k: int = 10, blend: float = 0.0
+) -> DataFrame:
+    """The ``k`` nearest catalog tracks of each chunk outside its cluster.
+
+    ``blend`` moves the chunk towards the mean of its cluster: 0 asks for the
+    chunk alone, 1 for the cluster mean.
+    """
+    asked = chunk_vectors(seed_chunks, catalog)
+    if blend:
+        keys = ["playlist_id", "cluster_id"]
+        mean = mean_vectors(member_rows.join(catalog, "track_id"), keys, "vec", "mean")
+        asked = asked.join(mean, keys).withColumn(
+            "vec", F.zip_with("vec", "mean", lambda x, m: x * (1 - blend) + m * blend)
+        )
+    asked = asked.select(
         "playlist_id", F.col("cluster_id").alias("part"), F.col("chunk").alias("qid"), "vec"
     )
     inside = member_rows.select("playlist_id", F.col("cluster_id").alias("part"), "track_id")
@@ -94,11 +107,13 @@ def assign_to_chunks(found: DataFrame, size: int = SIZE) -> DataFrame:
     ).drop("rn")
 
 
-def recommend(rows: DataFrame, clusters: DataFrame, tracks: DataFrame, size: int = SIZE, k: int = 10) -> DataFrame:
+def recommend(
+    rows: DataFrame, clusters: DataFrame, tracks: DataFrame, size: int = SIZE, k: int = 10, blend: float = 0.0
+) -> DataFrame:
     """Recommendations of all clusters of all playlists. Empty in, empty out."""
     chosen = label_clusters(clusters)
     inside = members(rows, chosen)
-    found = candidates(chunks(seeds(inside)), inside, catalog_vectors(tracks), k)
+    found = candidates(chunks(seeds(inside)), inside, catalog_vectors(tracks), k, blend)
     titled = assign_to_chunks(found, size).join(chosen.select("playlist_id", "cluster_id", "label"), ["playlist_id", "cluster_id"])
     cols = ["track_id", "reccobeats_id", "title", "artists", "duration_ms"]
     return titled.join(tracks.select(*cols), "track_id")

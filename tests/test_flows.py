@@ -44,6 +44,15 @@ def test_seeds_are_no_anomalies(s):
     assert seeds.join(odd, ["playlist_id", "track_id"], "left_semi").count() == 0
 
 
+def test_full_blend_asks_every_chunk_for_the_same(s):
+    chosen = recommend.label_clusters(s.clusters)
+    inside = recommend.members(s.tracks, chosen)
+    asked = recommend.chunks(recommend.seeds(inside))
+    found = recommend.candidates(asked, inside, recommend.catalog_vectors(s.source_tracks), 3, blend=1.0)
+    per = found.filter("rn = 1").groupBy("playlist_id", "cluster_id").agg(F.countDistinct("track_id").alias("n"))
+    assert {r.n for r in per.collect()} == {1}
+
+
 def test_empty_input_gives_empty_output(s):
     none = s.tracks.filter("false")
     assert recommend.recommend(none, s.clusters, s.source_tracks).count() == 0
