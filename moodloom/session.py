@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers call helpers of their modules, so the
+    workers must be able to import the package from wherever they were started.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_moodloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    # addPyFile serves the archive from the driver to every executor.
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{os.path.basename(package)}.zip")
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    sc.addPyFile(path)
+    sc._moodloom_shipped = True
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the checkpoint folder.
 
