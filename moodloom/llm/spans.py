@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from moodloom.llm.common import drop, release, settle
 
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\f\r]*|[^.!?\n]+$"
-SPAN = 3
-MIN_CHARS = 40
+SPAN = 2
+MIN_CHARS = 60
 _SENTENCE = re.compile(SENTENCE.replace("$", r"\Z"))
 
 
