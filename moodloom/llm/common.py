@@ -89,6 +89,19 @@ def drop(*tables: DataFrame) -> None:
                 folder.getFileSystem(conf).delete(folder, True)
 
 
+def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches by the links (u, v)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, v, root[u])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, comp) of every node in ``edges``: comp is the smallest node reachable.
 

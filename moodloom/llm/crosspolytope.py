@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.llm.common import components, drop, joined, settle
+from moodloom.llm.common import components, drop, forest, joined, settle
 
 COSINE = 0.9
 MISS = 1e-5
@@ -196,15 +196,7 @@ def _compared(nodes: DataFrame, d: int, k: int, tables: int, cosine: float) -> D
                 first = np.where(both, keys[u, table], np.iinfo(np.int64).max).min(1) == bucket
                 u, v = u[first], v[first]
             links = np.bincount(u, weight[v], len(rows)) + np.bincount(v, weight[u], len(rows))
-            root = np.arange(len(rows))
-            while True:
-                low = root.copy()
-                np.minimum.at(low, u, root[v])
-                np.minimum.at(low, v, root[u])
-                low = low[low]
-                if (low == root).all():
-                    break
-                root = low
+            root = forest(len(rows), u, v)
             out.append(
                 [
                     {"node": rows[r]["node"], "links": int(links[r]), "root": rows[root[r]]["node"]}

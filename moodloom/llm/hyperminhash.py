@@ -8,11 +8,14 @@ that meets goes on if its Jaccard estimate from the registers, less the expected
 chance collisions of compressed registers, is within five standard errors of the
 threshold, and counts as a link only after the full shingle sets agree.
 
-Texts with equal shingle sets are one node, whatever their number. Nodes of a
-bucket are compared with its smallest node first; components of these links show
-which buckets still hold several components, and only pairs across components are
-compared there, in blocks of bounded size. So a large group of copies costs one
-comparison per copy, and no link between components is lost.
+Texts with equal shingle sets are one node, whatever their number. The nodes of a
+bucket meet in blocks of bounded size, each pair in the first band that its nodes
+share; a block gives the nodes that may have a link, never the pairs. Their best
+partners are verified first. Components of these links show which blocks still
+hold several components; only there the full sets of a block are compared, all
+pairs at once by matrix products, and a spanning forest of the links comes back.
+So a large group of copies costs a few comparisons per copy, rows grow with the
+documents, and no link between components is lost.
 
 With 32 bands of four registers a pair at similarity 0.75 misses every band with
 a chance of about 5e-6, less above.
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.llm.common import components, drop, joined, mix, release, settle, steps, utf8, words_of
+from moodloom.llm.common import components, drop, forest, joined, mix, release, settle, steps, utf8, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -41,7 +44,7 @@ REGISTERS = 128
 BAND = 4
 MANTISSA = 10
 #: Rows of a bucket that one comparison task holds on either side.
-BLOCK = 256
+BLOCK = 1024
 KIND = "struct<n_shingles:bigint,node:binary,sketch:binary,bands:array<bigint>>"
 
 
@@ -90,13 +93,13 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(registers: np.ndarray) -> list[int]:
-    """A blocking key for each band that has a shingle."""
+def bands(registers: np.ndarray) -> list[int | None]:
+    """A blocking key for each band, none for a band without a shingle."""
     groups = registers.reshape(-1, BAND)
     out = []
-    for k in np.flatnonzero(groups.any(1)).tolist():
+    for k, some in enumerate(groups.any(1).tolist()):
         h = xxhash.xxh3_64_intdigest(groups[k].tobytes(), k)
-        out.append(h - (1 << 64) if h >> 63 else h)
+        out.append((h - (1 << 64) if h >> 63 else h) if some else None)
     return out
 
 
@@ -111,10 +114,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(same - chance, 0) / np.maximum(used, 1), used
 
 
-def promising(a, b, n_a, n_b, percent: int) -> np.ndarray:
+def enough(got: np.ndarray, used: np.ndarray, percent: int) -> np.ndarray:
     """Estimates that five standard errors could lift to the threshold."""
     t = percent / 100
-    got, used = estimate(a, b, n_a, n_b)
     return got >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1))
 
 
@@ -150,23 +152,82 @@ def sketches(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFra
     return kept.select("doc_id", *extra, "s.*")
 
 
-def _registers(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(joined(col)[0].tobytes(), np.uint16).reshape(-1, REGISTERS)
+def _registers(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, REGISTERS)
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sketches allow a link."""
+def meetings(regs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, percent: int):
+    """(u, v, estimate) of the promising pairs that meet in ``band`` first, u from left and v from right."""
+    groups = regs.reshape(len(regs), -1, BAND)
+    some = groups.any(2)
+    for u in left.tolist():
+        v = right[right > u] if len(left) == len(right) and (left == right).all() else right
+        few, many = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+        v = v[100 * few >= percent * many]
+        if band:
+            before = (groups[u, :band] == groups[v, :band]).all(2) & some[u, :band]
+            v = v[~before.any(1)]
+        if len(v):
+            got, used = estimate(regs[u][None, :], regs[v], sizes[u], sizes[v])
+            ok = enough(got, used, percent)
+            if ok.any():
+                yield u, v[ok], got[ok]
 
-    @F.arrow_udf("boolean")
-    def allowed(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        return pa.array(
-            promising(_registers(a), _registers(b), n_a.to_numpy(), n_b.to_numpy(), percent), pa.bool_()
-        )
 
-    side = lambda k: nodes.select(
-        F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}")
+def _dealt(members: DataFrame, parts: Column) -> DataFrame:
+    """Rows of a bucket in every pair of its parts that they belong to: i <= j, and their own part."""
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
+    return (
+        members.withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+        .drop("other")
+    )
+
+
+def _promising(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, mine, node, to) of the nodes that may have a link in a block of a bucket.
+
+    ``to`` are the partners to verify first: the one with the best estimate, and
+    the smallest node of the block where the estimate is near the threshold.
+    """
+    rows = members.join(nodes.select("node", "sketch", "n_shingles"), "node")
+    blocks = (
+        _dealt(rows, F.ceil(F.col("n") / BLOCK).cast("int"))
+        .groupBy("key", "band", "i", "j")
+        .agg(F.collect_list(F.struct("mine", "node", "sketch", "n_shingles")).alias("rows"))
+    )
+
+    @F.arrow_udf("array<struct<mine:int,node:binary,to:array<binary>>>")
+    def meet(bands: pa.Array, i: pa.Array, j: pa.Array, groups: pa.Array) -> pa.Array:
+        out = []
+        for band, a, b, rows in zip(bands.to_pylist(), i.to_pylist(), j.to_pylist(), groups):
+            rows = sorted(rows.as_py(), key=lambda r: r["node"])
+            regs = _registers([r["sketch"] for r in rows])
+            sizes = np.array([r["n_shingles"] for r in rows])
+            mine = np.array([r["mine"] for r in rows])
+            best, partner, to = np.full(len(rows), -1.0), np.full(len(rows), -1), {}
+            for u, vs, got in meetings(regs, sizes, np.flatnonzero(mine == a), np.flatnonzero(mine == b), band, percent):
+                k = int(got.argmax())
+                if got[k] > best[u]:
+                    best[u], partner[u] = got[k], vs[k]
+                better = got > best[vs]
+                best[vs[better]], partner[vs[better]] = got[better], u
+                if u == 0:
+                    for v, g in zip(vs.tolist(), got.tolist()):
+                        if 100 * g >= percent - 8:
+                            to[v] = 0
+            found = []
+            for k in np.flatnonzero(partner >= 0).tolist():
+                ends = {int(partner[k])} | ({to[k]} if k in to else set())
+                found.append({"mine": int(mine[k]), "node": rows[k]["node"], "to": [rows[e]["node"] for e in sorted(ends)]})
+            out.append(found)
+        kind = pa.struct([("mine", pa.int32()), ("node", pa.binary()), ("to", pa.list_(pa.binary()))])
+        return pa.array(out, pa.list_(kind))
+
+    return blocks.select("key", "i", "j", F.explode(meet("band", "i", "j", "rows")).alias("f")).select(
+        "key", "i", "j", "f.*"
     )
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(allowed("su", "sv", "nu", "nv")).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,74 +245,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, set) of the wanted nodes, shingled again from one text each."""
 
-    @F.arrow_udf("struct<node:binary,set:binary>")
-    def shingled(texts: pa.Array) -> pa.Array:
-        sets = list(shingle_sets(texts))
-        return pa.StructArray.from_arrays(
+    @F.arrow_udf("binary")
+    def shingled(texts: pa.Array, nodes: pa.Array) -> pa.Array:
+        # Other rows may share the doc_id: only a text with the wanted set counts.
+        return pa.array(
             [
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
+                s.tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == n else None
+                for s, n in zip(shingle_sets(texts), nodes.to_pylist())
             ],
-            ["node", "set"],
+            pa.binary(),
         )
 
-    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    ids = wanted.select(F.col("doc_id").alias("_id"), "node")
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # Other rows may share the doc_id: only the text with the wanted set stays, once.
-    return (
-        texts.select("_node", shingled(utf8()).alias("s"))
-        .where(F.col("s.node") == F.col("_node"))
-        .select("s.node", "s.set")
-    )
+    return texts.select("node", shingled(utf8(), F.col("node")).alias("set")).where("set is not null")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, exact, by products of 0-1 matrices."""
+    sizes = [len(s) for s in sets]
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # Shingles of one set only add nothing to a pair.
+    often = np.bincount(place, minlength=len(values)) > 1
+    column = np.cumsum(often) - 1
+    row, place = row[often[place]], column[place[often[place]]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(place, kind="stable")
+    row, place = row[by], place[by]
+    for low in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(place, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], place[a:b] - low] = 1
+        out += part @ part.T
+    return out
 
 
-def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs (u, v) of one bucket that are still in different components."""
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = (
-        placed.groupBy("key")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi")
-        .select("key", "n")
+def _across(promising: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (u, v) of the links across components, block by block, on full sets."""
+    placed = promising.select("key", "i", "j", "mine", "node").join(comps, "node", "left")
+    placed = placed.withColumn("comp", F.coalesce("comp", "node"))
+    open_blocks = (
+        placed.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     )
-    rows = placed.join(open_keys, "key").join(nodes.select("node", "sketch", "n_shingles"), "node")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     blocks = (
-        rows.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select(
-            "key",
-            F.least("mine", "other").alias("i"),
-            F.greatest("mine", "other").alias("j"),
-            "mine",
-            F.struct("mine", "node", "comp", "sketch", "n_shingles").alias("row"),
-        )
+        placed.join(open_blocks.select("key", "i", "j"), ["key", "i", "j"])
+        .join(sets, "node")
         .groupBy("key", "i", "j")
-        .agg(F.collect_list("row").alias("rows"))
+        .agg(F.collect_list(F.struct("mine", "node", "comp", "set")).alias("rows"))
     )
 
     @F.arrow_udf("array<struct<u:binary,v:binary>>")
-    def compare(i: pa.Array, j: pa.Array, groups: pa.Array) -> pa.Array:
+    def verify(groups: pa.Array) -> pa.Array:
         out = []
-        for a, b, g in zip(i.to_pylist(), j.to_pylist(), groups.to_pylist()):
-            left = [r for r in g if r["mine"] == a]
-            right = [r for r in g if r["mine"] == b]
-            regs = np.array([np.frombuffer(r["sketch"], np.uint16) for r in right])
-            sizes = np.array([r["n_shingles"] for r in right])
-            found = []
-            for x in left:
-                reg = np.frombuffer(x["sketch"], np.uint16)[None, :]
-                ok = promising(reg, regs, np.array([x["n_shingles"]]), sizes, percent)
-                for k in np.flatnonzero(ok).tolist():
-                    y = right[k]
-                    if x["comp"] != y["comp"] and (a != b or x["node"] < y["node"]):
-                        u, v = sorted((x["node"], y["node"]))
-                        found.append({"u": u, "v": v})
-            out.append(found)
+        for rows in groups:
+            rows = rows.as_py()
+            data = [np.frombuffer(r["set"], np.uint64) for r in rows]
+            size = np.array([len(d) for d in data])
+            _, comp = np.unique([r["comp"] for r in rows], return_inverse=True)
+            both = common(data)
+            hit = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            u, v = np.nonzero(np.triu(hit & (comp[:, None] != comp[None, :]), 1))
+            root = forest(len(rows), u, v)
+            out.append([{"u": rows[r]["node"], "v": rows[k]["node"]} for k, r in enumerate(root.tolist()) if r != k])
         return pa.array(out, pa.list_(pa.struct([("u", pa.binary()), ("v", pa.binary())])))
 
-    return blocks.select(F.explode(compare("i", "j", "rows")).alias("p")).select("p.u", "p.v").distinct()
+    return blocks.select(F.explode(verify("rows")).alias("p")).select("p.u", "p.v")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -267,19 +326,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Co
     )
     nodes = settle(nodes)
     release(spark)
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    members = settle(rows.join(shared.select("key", "rep"), "key"))
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "key")).where("key is not null")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = settle(rows.join(shared, "key"))
     release(spark)
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    promising = settle(_promising(members, nodes, percent))
+    drop(members)
+    release(spark)
+    wanted = nodes.join(promising.select("node").distinct(), "node", "left_semi")
     sets = settle(_sets(docs, wanted.select("doc_id", "node")).dropDuplicates(["node"]))
     release(spark)
 
-    stars = members.where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v")).distinct()
-    links = settle(_verified(_estimated(stars, nodes, percent), sets, percent))
+    first = promising.select("node", F.explode("to").alias("to"))
+    first = first.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
+    links = settle(_verified(first, sets, percent))
+    release(spark)
     comps = settle(components(links))
-    pairs = _across(members.select("key", "node"), nodes, comps, percent)
-    more = settle(_verified(pairs, sets, percent))
+    more = settle(_across(promising, comps, sets, percent))
+    release(spark)
+    drop(sets, promising)
     if not more.isEmpty():
         comps = settle(components(links.union(more)))
     release(spark)
@@ -287,7 +352,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Co
     named = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     labels = settle(named.join(names, "comp").select("node", "component_id"))
-    drop(members, sets)
     out = (
         all_rows.select("doc_id", "n_shingles", "node", *extra)
         .join(labels, "node", "left")
