@@ -53,10 +53,7 @@ class Pieces:
         self.bytes = {int(m.id_to_piece(i)[3:-1], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown = m.unk_id()
         special = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i)
-        # Pieces of marks alone with a hopeless score (none would win) are left out.
-        self.score = {
-            m.id_to_piece(i): (m.get_score(i), i) for i in range(n) if not special(i) and m.get_score(i) > -1e8
-        }
+        self.score = {m.id_to_piece(i): (m.get_score(i), i) for i in range(n) if not special(i)}
         across = [p for p in self.score if re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S)]
         if across:
             raise ValueError(f"pieces reach across words: {across[:3]}")
