@@ -418,37 +418,49 @@ _AVG = ", ".join(f"round(sum(coalesce({f}, 0) * size) / sum(size), 6) AS {f}" fo
 _AVG_RAW = ", ".join(f"sum(coalesce({f}, 0) * size) / sum(size) AS {f}" for f in FEATURES)
 
 
-@query("M9_profile", sql(f"SELECT playlist_id, {_AVG} FROM clusters WHERE kept GROUP BY 1"))
+# The views read clusters by their label: of clusters with one label the last counts.
+_NAMED = {
+    "named": """SELECT * FROM clusters WHERE kept
+      QUALIFY row_number() OVER (PARTITION BY playlist_id, label ORDER BY cluster_id DESC) = 1"""
+}
+
+
+@query("M9_profile", sql(f"SELECT playlist_id, {_AVG} FROM named GROUP BY 1", _NAMED))
 def m9(s):
+    return reports.profile(reports.by_label(s.clusters)).select("playlist_id", *rounded())
+
+
+@query("M9_profile_of_all_clusters", sql(f"SELECT playlist_id, {_AVG} FROM clusters WHERE kept GROUP BY 1"))
+def m9b(s):
     return reports.profile(s.clusters).select("playlist_id", *rounded())
 
 
 @query(
     "M10_presence",
-    sql("""SELECT label, playlist_id, CAST(sum(size) AS BIGINT) AS size FROM clusters WHERE kept GROUP BY 1, 2"""),
+    sql("SELECT label, playlist_id, size FROM named", _NAMED),
 )
 def m10(s):
-    return reports.presence(s.clusters)
+    return reports.presence(reports.by_label(s.clusters))
 
 
 @query(
     "M10_shared_labels",
     sql("""SELECT label, n AS playlists, n = total AS in_all, n = 1 AS in_one FROM (
       SELECT label, count(DISTINCT playlist_id) AS n,
-        (SELECT count(DISTINCT playlist_id) FROM clusters WHERE kept) AS total
+        (SELECT count(*) FROM summary) AS total
       FROM clusters WHERE kept GROUP BY 1)"""),
 )
 def m10b(s):
-    return reports.label_spread(s.clusters)
+    return reports.label_spread(s.clusters, s.summary)
 
 
 @query(
     "M11_cluster_share",
     sql("""SELECT c.playlist_id, c.cluster_id, c.label, round(c.size / CAST(s.num_eligible AS DOUBLE) * 100, 6) AS percent
-      FROM clusters c JOIN summary s USING (playlist_id) WHERE c.kept"""),
+      FROM named c JOIN summary s USING (playlist_id)""", _NAMED),
 )
 def m11(s):
-    return reports.cluster_share(s.clusters, s.summary).withColumn("percent", r6("percent"))
+    return reports.cluster_share(reports.by_label(s.clusters), s.summary).withColumn("percent", r6("percent"))
 
 
 @query(
@@ -467,10 +479,10 @@ def _bar(f):
 
 @query(
     "M13_scaled_profile",
-    sql(f"SELECT playlist_id, {', '.join(_bar(f) for f in FEATURES)} FROM (SELECT playlist_id, {_AVG_RAW} FROM clusters WHERE kept GROUP BY 1)"),
+    sql(f"SELECT playlist_id, {', '.join(_bar(f) for f in FEATURES)} FROM (SELECT playlist_id, {_AVG_RAW} FROM named GROUP BY 1)", _NAMED),
 )
 def m13(s):
-    return reports.display_scale(reports.profile(s.clusters)).select("playlist_id", *rounded())
+    return reports.display_scale(reports.profile(reports.by_label(s.clusters))).select("playlist_id", *rounded())
 
 
 @query(

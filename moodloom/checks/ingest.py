@@ -345,10 +345,15 @@ def i15b(s):
 
 # --- state -------------------------------------------------------------------
 
+# The events before this time are the state that is known, those after it the news;
+# together they are the whole table.
+OLDER = "ts < timestamp_ntz'2024-01-16 00:00:00'"
+NEWER = "ts >= timestamp_ntz'2024-01-16 00:00:00'"
+
 _SNAP = """SELECT user_id, event_type AS playlist_id, 's' || max(event_id) AS snapshot_id FROM events GROUP BY 1, 2"""
 _CACHED = """SELECT user_id, event_type AS playlist_id,
   CASE WHEN user_id % 17 = 0 THEN '' ELSE 's' || max(event_id) END AS cached_snapshot, count(*) > 1 AS resolves
-  FROM events WHERE value < 60 GROUP BY 1, 2"""
+  FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1, 2"""
 _WANTED = """SELECT DISTINCT user_id, event_type AS playlist_id FROM events
   UNION ALL SELECT DISTINCT user_id, 'missing' FROM events"""
 
@@ -365,7 +370,7 @@ def c1(s):
     keys = ["user_id", "playlist_id"]
     last = F.concat(F.lit("s"), F.max("event_id"))
     current = ev.groupBy(*keys).agg(last.alias("snapshot_id"))
-    cached = ev.filter(F.col("value") < 60).groupBy(*keys).agg(
+    cached = ev.filter(OLDER).groupBy(*keys).agg(
         F.when(F.col("user_id") % 17 == 0, "").otherwise(last).alias("cached_snapshot"),
         (F.count(F.lit(1)) > 1).alias("resolves"),
     )
@@ -447,7 +452,11 @@ def _records(cond):
       FROM events WHERE {cond} GROUP BY 1, 2"""
 
 
-_REC = {"old_rec": _records("value < 60"), "new_rec": _records("value >= 120")}
+_REC = {
+    "old_rec": _records("ts < TIMESTAMP '2024-01-16 00:00:00'"),
+    "new_rec": _records("ts >= TIMESTAMP '2024-01-16 00:00:00'"),
+    "all_rec": _records("TRUE"),
+}
 
 
 def records(s, cond):
@@ -462,7 +471,7 @@ def records(s, cond):
       WHERE NOT EXISTS (SELECT 1 FROM new_rec n WHERE n.user_id = o.user_id AND n.playlist_id = o.playlist_id)""", _REC),
 )
 def c5(s):
-    return state.replace_playlists(records(s, "value < 60"), records(s, "value >= 120"))
+    return state.replace_playlists(records(s, OLDER), records(s, NEWER))
 
 
 @query(
@@ -489,11 +498,11 @@ def gone_users(s):
     return s.read("events").filter("event_type = 'error' AND value > 150").select("user_id").distinct()
 
 
-@query("C7_of_users", sql("SELECT * FROM old_rec WHERE user_id IN (SELECT user_id FROM gone)", _GONE))
+@query("C7_of_users", sql("SELECT * FROM all_rec WHERE user_id IN (SELECT user_id FROM gone)", _GONE))
 def c7(s):
-    return state.of_users(records(s, "value < 60"), gone_users(s))
+    return state.of_users(records(s, "TRUE"), gone_users(s))
 
 
-@query("C7_clear_users", sql("SELECT * FROM old_rec WHERE user_id NOT IN (SELECT user_id FROM gone)", _GONE))
+@query("C7_clear_users", sql("SELECT * FROM all_rec WHERE user_id NOT IN (SELECT user_id FROM gone)", _GONE))
 def c7b(s):
-    return state.without_users(records(s, "value < 60"), gone_users(s))
+    return state.without_users(records(s, "TRUE"), gone_users(s))

@@ -86,7 +86,7 @@ def k1b(s):
     return labelled.select("track_id", F.col("labels")[0]["cluster_id"].alias("cluster_id"))
 
 
-_SEARCH = {**_lloyd_sql(_PTS, "[3, 4, 5, 6, 7, 8]"), **_silhouette_sql(f"SELECT * FROM a{ROUNDS}")}
+_SEARCH = {**_lloyd_sql(_PTS, "[3, 4, 5, 6, 7, 8]"), **_silhouette_sql(f"SELECT * FROM a{ROUNDS}", 2)}
 _BEST = """SELECT playlist_id, k FROM score QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY round(score, 9) DESC, k) = 1"""
 
 
@@ -124,7 +124,7 @@ def _given(s):
     sql("SELECT playlist_id, round(score, 6) AS score FROM score", {"pts": _PTS, **_silhouette_sql(_GIVEN)}),
 )
 def k3(s):
-    scores = kmeans.silhouette(_given(s), s.vectors.select("playlist_id", "n"))
+    scores = kmeans.silhouette(_given(s), s.vectors.select("playlist_id", "n"), "euclidean")
     return scores.select("playlist_id", r6("score").alias("score"))
 
 

@@ -21,7 +21,6 @@ from moodloom.operators.vectors import mean_vectors
 from moodloom.session import cut, cut_in_place, settle
 
 BLOCK_ROWS = 1024
-EXACT_ROWS = 2000
 
 
 def pack(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -402,27 +401,18 @@ def silhouette_moments(points: DataFrame) -> DataFrame:
     return scored.groupBy("playlist_id", "k").agg(F.avg(s).alias("score"))
 
 
-def silhouette(labelled: DataFrame, sizes: DataFrame, metric: str = "auto", exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Score of every (playlist, k).
+def silhouette(labelled: DataFrame, sizes: DataFrame, metric: str = "squared") -> DataFrame:
+    """Score of every (playlist, k), the same kind at every size.
 
-    ``euclidean`` puts a playlist into one group; ``squared`` is linear;
-    ``auto`` (default) uses the first up to ``exact_rows`` tracks and the
-    second above, so the quadratic form never meets a large playlist.
+    ``squared`` (default) uses squared distances by cluster moments and is linear
+    in the tracks; ``euclidean`` makes all distances of a playlist in one group
+    and is meant for playlists known to be small.
     """
-    rows = labelled.join(sizes.select("playlist_id", "n").distinct(), "playlist_id")
+    rows = labelled.join(sizes.select("playlist_id").distinct(), "playlist_id")
     if metric == "euclidean":
-        return silhouette_exact(rows.drop("n"))
-
-    def exploded(df):
-        return df.select("playlist_id", "track_id", "vec", F.explode("labels").alias("l")).select(
-            "playlist_id", "track_id", "vec", "l.k", "l.cluster_id"
-        )
-
-    if metric == "squared":
-        return silhouette_moments(exploded(rows))
-    small = rows.filter((F.col("n") > 3) & (F.col("n") <= exact_rows)).drop("n")
-    large = rows.filter(F.col("n") > exact_rows)
-    return silhouette_exact(small).unionByName(silhouette_moments(exploded(large)))
+        return silhouette_exact(rows)
+    points = rows.select("playlist_id", "track_id", "vec", F.explode("labels").alias("l"))
+    return silhouette_moments(points.select("playlist_id", "track_id", "vec", "l.k", "l.cluster_id"))
 
 
 def choose_k(cand: DataFrame, scores: DataFrame) -> DataFrame:
@@ -442,7 +432,7 @@ def cluster(
     restarts: int = 3,
     max_iter: int = 20,
     tol: float = 1e-4,
-    metric: str = "auto",
+    metric: str = "squared",
     seed: int = 42,
 ) -> DataFrame:
     """(playlist_id, track_id, pos, vec, cluster_id): the whole search."""

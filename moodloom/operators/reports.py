@@ -58,20 +58,22 @@ def ranked_outliers(rows: DataFrame, k: int = 8) -> DataFrame:
 
 
 def parse_reasons(rows: DataFrame, strict: bool = False) -> DataFrame:
-    """Facts back out of the stored sentences, one row per deviation.
+    """Facts back out of the stored sentences, one row per deviation, and one
+    without a deviation for a sentence that names none.
 
     ``strict`` needs a unit word behind the number, as the reader of these
     sentences did, and so finds tempo and loudness only.
     """
     # The patterns of the sentence.
-    number = r"([\d.]+ \w+)" if strict else r"([0-9]+(?:[.][0-9]+)?(?: \w+)?)"
-    found = F.regexp_extract_all("reason", F.lit(rf"((?:higher|lower) \w+ by {number[1:-1]})"), F.lit(1))
+    with_unit = r"((?:higher|lower) \w+ by [\d.]+ \w+)"
+    any_number = r"((?:higher|lower) \w+ by [0-9]+(?:[.][0-9]+)?(?: \w+)?)"
+    found = F.regexp_extract_all("reason", F.lit(with_unit if strict else any_number), F.lit(1))
     facts = rows.filter("is_anomaly").select(
         "playlist_id",
         "track_id",
         F.regexp_extract("reason", "dominant mood '([^']+)'", 1).alias("mood"),
         F.regexp_extract("reason", r"distance_score=([\d.]+\d)", 1).try_cast("double").alias("score"),
-        F.explode(found).alias("m"),
+        F.explode_outer(found).alias("m"),
     )
     parts = r"^(higher|lower) (\w+) by ([0-9]+(?:[.][0-9]+)?)"
     return facts.select(
@@ -88,7 +90,7 @@ def parse_reasons(rows: DataFrame, strict: bool = False) -> DataFrame:
 def deviation_counts(facts: DataFrame) -> DataFrame:
     """Deviations per feature and direction. A track names a feature once, so
     the number of tracks needs no distinct."""
-    return facts.groupBy("feature", "direction").agg(
+    return facts.where("feature is not null").groupBy("feature", "direction").agg(
         F.count(F.lit(1)).alias("deviations"),
         F.count(F.lit(1)).alias("tracks"),
         F.round(F.sum("amount"), 2).alias("total"),
@@ -160,10 +162,11 @@ def presence_matrix(clusters: DataFrame) -> DataFrame:
     return presence(clusters).groupBy("playlist_id").pivot("label", list(MOODS)).agg(F.first("size"))
 
 
-def label_spread(clusters: DataFrame) -> DataFrame:
-    """In how many playlists a label occurs; in all, or in exactly one."""
+def label_spread(clusters: DataFrame, playlists: DataFrame) -> DataFrame:
+    """In how many playlists a label occurs; in all of ``playlists`` (one row
+    each, empty ones count too), or in exactly one."""
     pairs = clusters.filter("kept").select("playlist_id", "label").distinct()
-    total = pairs.select("playlist_id").distinct().agg(F.count(F.lit(1)))
+    total = playlists.agg(F.count(F.lit(1)))
     count = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("playlists"))
     return count.select(
         "label",

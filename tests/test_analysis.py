@@ -104,10 +104,12 @@ def test_clusters_with_one_label_share_a_mood(done):
 def test_reason_parses_back(done):
     facts = reports.parse_reasons(done.tracks).collect()
     strict = reports.parse_reasons(done.tracks, strict=True).collect()
-    assert {f.feature for f in strict} <= {"tempo", "loudness"}
+    assert {f.feature for f in strict} <= {"tempo", "loudness", None}
     assert len(facts) >= len(strict)
     for f in facts:
-        assert f.mood == "high_energy_happy" and f.direction in ("higher", "lower")
+        assert f.mood == "high_energy_happy"
+    for f in (f for f in facts if f.feature):
+        assert f.direction in ("higher", "lower")
 
 
 def test_score_range(done):

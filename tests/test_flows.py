@@ -76,8 +76,9 @@ def test_pages_hold_everything_in_order(spark):
 def test_export_is_json(s, tmp_path):
     path = str(tmp_path / "out")
     sinks.write_json(sinks.analysis_export(s), path)
-    lines = [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()]
+    lines = [json.loads(x) for f in (tmp_path / "out").glob("kind=*/part-*") for x in f.read_text().splitlines()]
     heads = [x for x in lines if "summary" in x]
+    assert {f.name for f in (tmp_path / "out").glob("kind=*")} >= {"kind=head", "kind=cluster", "kind=mood"}
     assert len(heads) == 10 and all(h["clusters"] for h in heads)
 
 
