@@ -8,11 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from moodloom.llm.common import joined, steps
+from moodloom.llm.common import steps
 
 CUT = "\x1f"
-#: Distinct chunks that a Python worker remembers; beyond it starts afresh.
-REMEMBERED = 1_000_000
+STEP = 2 << 20
 
 
 def cut_plain(texts: pa.Array, points: bool) -> pa.Array:
@@ -39,7 +38,8 @@ class Encoder:
 
     ``odd`` is a pattern of texts that need ``cut_odd`` (a list of chunks);
     ``encode`` turns a list of distinct chunks into lists of ids. ``first`` is put
-    before the first chunk of a text.
+    before the first chunk of a text. A worker remembers up to ``remembered``
+    distinct chunks; beyond that it starts afresh.
     """
 
     def __init__(
@@ -49,8 +49,10 @@ class Encoder:
         cut_odd: Callable[[str], list[str]],
         first: str = "",
         points: bool = False,
+        remembered: int = 400_000,
     ):
         self.encode, self.odd, self.cut_odd, self.first, self.points = encode, odd, cut_odd, first, points
+        self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
@@ -60,7 +62,7 @@ class Encoder:
     def learn(self, chunks: list[str]) -> np.ndarray:
         """Numbers of distinct chunks."""
         new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED and self.known:
+        if len(self.known) + len(new) > self.remembered and self.known:
             self.forget()
             new = chunks
         if new:
@@ -96,6 +98,6 @@ class Encoder:
 
     def __call__(self, texts: pa.Array):
         """(first row, end row, ids, ids per text) of consecutive parts of ``texts``."""
-        texts = texts.cast(pa.large_string())
-        for a, b in steps(np.diff(joined(texts)[1])):
-            yield a, b, *self.step(texts[a:b])
+        for a, b in steps(pc.binary_length(texts).to_numpy(), STEP):
+            yield a, b, *self.step(texts[a:b].cast(pa.large_string()))
+        pa.default_memory_pool().release_unused()

@@ -72,7 +72,7 @@ def _encoder(path: str) -> Encoder:
     def encode(chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return Encoder(encode, ODD, lambda text: [text], points=True)
+    return Encoder(encode, ODD, lambda text: [text], points=True, remembered=1_000_000)
 
 
 def masked(data: bytes) -> int:

@@ -19,11 +19,12 @@ repeated rows are encoded alike; other columns pass.
 from __future__ import annotations
 
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zlib
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,36 +137,33 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     @F.arrow_udf("struct<n_tokens:bigint,ids:array<int>,ids_crc32:bigint,decoded_equal:boolean>")
     def pieces_of(texts: pa.Array) -> pa.Array:
         pieces, encoder = _loaded(path)
-        some = pa.array([], pa.list_(pa.int32()))
-        parts, counts, sums, equal = [some], [], [], []
         # The dummy space belongs to texts that are not empty.
-        filled = texts.filter(pa.array(np.diff(joined(texts)[1]) > 0))
+        full = pc.binary_length(texts).to_numpy() > 0
+        filled = texts if full.all() else texts.filter(pa.array(full))
+        parts, counts, sums, equal = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], []
         for a, b, ids, n in encoder(filled):
+            parts.append(ids)
+            counts.append(n)
             ends = np.cumsum(n)
-            offsets = pa.array(np.r_[0, ends].astype(np.int32))
-            parts.append(pa.ListArray.from_arrays(offsets, pa.array(ids)))
-            counts += n.tolist()
-            raw = ids.astype("<u4").tobytes()
+            raw = memoryview(ids.astype("<u4")).cast("B")
             sums += [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), n.tolist())]
             data, sizes = pieces.decode(ids, n)
             given, offsets = joined(filled[a:b])
             same = np.diff(offsets) == sizes
-            ends = np.cumsum(sizes)
             if same.all():
                 wrong = np.r_[0, np.cumsum(given != data)]
-                same = wrong[ends] == wrong[ends - sizes]
+                same = wrong[offsets[1:]] == wrong[offsets[:-1]]
             equal += same.tolist()
-        at = np.cumsum(np.diff(joined(texts)[1]) > 0) - 1
-        full = np.diff(joined(texts)[1]) > 0
-        ids = pa.concat_arrays([*parts, pa.array([[]], pa.list_(pa.int32()))])
-        last = len(counts)
-        take = np.where(full, at, last)
+        ids = np.concatenate(parts)
+        parts.clear()
+        spread = lambda values, rest: np.r_[values, rest][np.where(full, np.cumsum(full) - 1, len(values))]
+        n = spread(np.concatenate(counts), 0)
         return pa.StructArray.from_arrays(
             [
-                pa.array(np.array([*counts, 0], np.int64)[take]),
-                ids.take(pa.array(take)),
-                pa.array(np.array([*sums, 0], np.int64)[take]),
-                pa.array(np.array([*equal, True], bool)[take]),
+                pa.array(n),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids)),
+                pa.array(spread(np.array(sums, np.int64), 0)),
+                pa.array(spread(np.array(equal, bool), True)),
             ],
             ["n_tokens", "ids", "ids_crc32", "decoded_equal"],
         )
