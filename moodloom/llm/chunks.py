@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from moodloom.llm.common import steps
 
 CUT = "\x1f"
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 def cut_plain(texts: pa.Array, points: bool) -> pa.Array:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -16,6 +17,35 @@ from moodloom.session import settle
 STEP_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` in this session; a lower setting stays.
+
+    Spark's own bound is 64 MB, and a task holds a batch several times over (JVM
+    buffer, Python copy, result). Whole texts are wide rows, so the bound in bytes
+    decides, not the one in rows. A single longer text is a batch of its own.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system.
+
+    Workers outlive their tasks: what one step leaves in the allocators' free
+    lists would add to the memory of the steps after it.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

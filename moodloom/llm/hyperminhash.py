@@ -36,13 +36,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.llm.common import components, drop, forest, joined, mix, release, settle, steps, utf8, words_of
+from moodloom.llm.common import (
+    bound_batches,
+    components,
+    drop,
+    forest,
+    give_back,
+    joined,
+    mix,
+    release,
+    settle,
+    steps,
+    utf8,
+    words_of,
+)
 
 SHINGLE = 5
 PERCENT = 75
 REGISTERS = 128
 BAND = 4
 MANTISSA = 10
+#: Bytes of text that one step shingles.
+STEP = 1 << 20
 #: Rows of a bucket that one comparison task holds on either side.
 BLOCK = 1024
 KIND = "struct<n_shingles:bigint,node:binary,sketch:binary,bands:array<bigint>>"
@@ -60,7 +75,7 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE):
     """Sorted distinct shingle hashes of each whole text, one array per text."""
-    for a, b in steps(np.diff(joined(texts)[1])):
+    for a, b in steps(np.diff(joined(texts)[1]), STEP):
         flat, counts = words_of(texts[a:b])
         h = word_hashes(flat)
         ends = np.cumsum(counts)
@@ -137,6 +152,7 @@ def sketches(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFra
             node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             regs.append(r.tobytes())
             keys.append(bands(r))
+        give_back()
         return pa.StructArray.from_arrays(
             [
                 pa.array(n, pa.int64()),
@@ -316,6 +332,7 @@ def _across(promising: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, and ``extra`` columns of it."""
     spark = docs.sparkSession
+    bound_batches(spark)
     extra = extra or {}
     all_rows = settle(sketches(docs, extra))
     nodes = all_rows.where("node is not null").groupBy("node").agg(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.llm.common import joined, steps, utf8
+from moodloom.llm.common import bound_batches, give_back, joined, steps, utf8
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -40,6 +40,8 @@ FAMILIES = {
 UNDETERMINED = "und"
 DIMS = 4096
 SAMPLE_ROWS = 2400
+#: Bytes of text that one step handles.
+STEP = 1 << 20
 
 
 def family_of(label: str) -> str:
@@ -66,22 +68,26 @@ def profiles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(texts), DIMS), np.float32)
     letters = np.zeros(len(texts), bool)
     sizes = np.diff(offsets)
-    for a, b in steps(sizes + 8192, 2 << 20):
+    for a, b in steps(sizes + 8192, STEP):
         low = _LOWER[data[offsets[a] : offsets[b]]]
         start = offsets[a:b] - offsets[a]
         for k, i in enumerate(range(a, b)):
             letters[i] = has_letter(low[start[k] : start[k] + sizes[i]])
-        if len(low) < 2:
-            continue
-        row = np.repeat(np.arange(b - a, dtype=np.int64), sizes[a:b])
-        wide = low.astype(np.uint32)
+        row = np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b])
         counts = np.zeros((b - a) * DIMS, np.float64)
-        two = (wide[:-1] << 8) | wide[1:]
-        grams = [two] + ([(two[:-1] << 8) | wide[2:]] if len(low) > 2 else [])
-        for n, gram in zip((2, 3), grams):
-            whole = row[: len(gram)] == row[n - 1 :]
-            slot = (gram * np.uint32(2654435761 + 2 * n)) >> np.uint32(20)
-            counts += np.bincount((row[: len(gram)] * DIMS + slot)[whole], minlength=len(counts))
+        # A long text goes part by part; a gram belongs to the part it starts in.
+        for lo in range(0, len(low), STEP):
+            for n in (2, 3):
+                part, rows = low[lo : lo + STEP + n - 1].astype(np.uint32), row[lo : lo + STEP + n - 1]
+                if len(part) < n:
+                    continue
+                gram = part[: len(part) - n + 1]
+                for k in range(1, n):
+                    gram = (gram << 8) | part[k : len(part) - n + 1 + k]
+                whole = rows[: len(gram)] == rows[n - 1 :]
+                slot = (gram * np.uint32(2654435761 + 2 * n)) >> np.uint32(20)
+                at = rows[: len(gram)][whole].astype(np.int64) * DIMS + slot[whole]
+                counts += np.bincount(at, minlength=len(counts))
         counts = counts.reshape(b - a, DIMS)
         total = counts.sum(1, keepdims=True)
         out[a:b] = np.sqrt(counts / np.maximum(total, 1))
@@ -155,6 +161,7 @@ class Model:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Model of (text, lang) rows; None if there is nothing to learn from."""
+    bound_batches(labelled.sparkSession)
     some = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -189,11 +196,13 @@ def predicted(model: Model | None, text: str = "text") -> Column:
     def predict(texts: pa.Array) -> pa.Array:
         langs: list[str] = []
         scores: list[np.ndarray] = [np.empty(0)]
-        for a in range(0, len(texts), 1024):
-            x, letters = profiles(texts[a : a + 1024])
+        for a in range(0, len(texts), 512):
+            x, letters = profiles(texts[a : a + 512])
             best, score = model.predict(x)
             langs += [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, letters)]
             scores.append(np.where(letters, score, 0.0))
+            del x
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())],
             ["lang", "score"],

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.llm.common import drop, release, settle
+from moodloom.llm.common import bound_batches, drop, release, settle
 
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\f\r]*|[^.!?\n]+$"
 SPAN = 2
@@ -87,6 +87,7 @@ def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with clean (the remaining text), n_sentences and n_removed."""
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, places: pa.Array) -> pa.Array:

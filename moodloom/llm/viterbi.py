@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.llm.chunks import Encoder, gather
-from moodloom.llm.common import joined
+from moodloom.llm.chunks import Encoder
+from moodloom.llm.common import bound_batches, give_back, joined
 
 MARK = "▁"
 #: Texts whose cuts need the regular expression: runs of spaces, a leading space, literal marks.
 ODD = f"  |^ |{MARK}|\x1f"
+#: Distinct words a worker remembers.
+REMEMBERED = 200_000
 _WORD = re.compile(f"\n|{MARK}| +[^ \n{MARK}]*|[^ \n{MARK}]+")
 
 
@@ -62,9 +65,7 @@ class Pieces:
         self.unknown_score = min((s for s, _ in self.score.values()), default=0.0) - 10
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         text = [back.get(i, b"" if special(i) else m.id_to_piece(i).replace(MARK, " ").encode()) for i in range(n)]
-        self.text_sizes = np.array([len(t) for t in text], np.int64)
-        self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
-        self.text = np.frombuffer(b"".join(text), np.uint8)
+        self.text = pa.array(text, pa.large_binary())
 
     def spelled(self, text: str) -> list[int]:
         """Byte pieces of characters that have no piece."""
@@ -109,9 +110,8 @@ class Pieces:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of consecutive texts without their dummy space, and the bytes of each."""
-        sizes = self.text_sizes[ids]
-        data = gather(self.text, self.text_starts[ids], sizes)
-        per_text = np.bincount(np.repeat(np.arange(len(counts)), counts), sizes, len(counts)).astype(np.int64)
+        data, offsets = joined(self.text.take(pa.array(ids)))
+        per_text = np.diff(offsets[np.r_[0, np.cumsum(counts)]])
         first = (np.cumsum(per_text) - per_text)[per_text > 0]
         return np.delete(data, first), per_text - (per_text > 0)
 
@@ -123,7 +123,7 @@ def cut_words(text: str) -> list[str]:
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> tuple[Pieces, Encoder]:
     pieces = Pieces(path)
-    return pieces, Encoder(pieces.encode, ODD, cut_words, " ")
+    return pieces, Encoder(pieces.encode, ODD, cut_words, " ", remembered=REMEMBERED)
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -132,17 +132,19 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     ``ids_crc32`` is over the ids as little-endian 32-bit integers; ``decoded_equal``
     says that the ids decode to the very text.
     """
+    bound_batches(docs.sparkSession)
     path = path or default_model()
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids:array<int>,ids_crc32:bigint,decoded_equal:boolean>")
-    def pieces_of(texts: pa.Array) -> pa.Array:
-        pieces, encoder = _loaded(path)
+    def pieces_of(texts: pa.Array, pieces: Pieces, encoder: Encoder) -> pa.Array:
         # The dummy space belongs to texts that are not empty.
         full = pc.binary_length(texts).to_numpy() > 0
         filled = texts if full.all() else texts.filter(pa.array(full))
-        parts, counts, sums, equal = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], []
+        # No piece is shorter than a byte: room for all ids, of which only the pages in use take memory.
+        room = np.empty(pc.sum(pc.binary_length(filled)).as_py() + len(filled) if len(filled) else 0, np.int32)
+        end, counts, sums, equal = 0, [np.empty(0, np.int64)], [], []
         for a, b, ids, n in encoder(filled):
-            parts.append(ids)
+            room[end : end + len(ids)] = ids
+            end += len(ids)
             counts.append(n)
             ends = np.cumsum(n)
             raw = memoryview(ids.astype("<u4")).cast("B")
@@ -154,21 +156,28 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
                 wrong = np.r_[0, np.cumsum(given != data)]
                 same = wrong[offsets[1:]] == wrong[offsets[:-1]]
             equal += same.tolist()
-        ids = np.concatenate(parts)
-        parts.clear()
         spread = lambda values, rest: np.r_[values, rest][np.where(full, np.cumsum(full) - 1, len(values))]
         n = spread(np.concatenate(counts), 0)
         return pa.StructArray.from_arrays(
             [
                 pa.array(n),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids)),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(room[:end])),
                 pa.array(spread(np.array(sums, np.int64), 0)),
                 pa.array(spread(np.array(equal, bool), True)),
             ],
             ["n_tokens", "ids", "ids_crc32", "decoded_equal"],
         )
 
-    return docs.withColumn("pieces", pieces_of(F.coalesce(F.col(text), F.lit(""))))
+    @F.arrow_udf("struct<n_tokens:bigint,ids:array<int>,ids_crc32:bigint,decoded_equal:boolean>")
+    def all_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces, encoder = _loaded(path)
+        for texts in batches:
+            yield pieces_of(texts, pieces, encoder)
+        # The words of a task go with it, the model stays.
+        encoder.forget()
+        give_back()
+
+    return docs.withColumn("pieces", all_pieces(F.coalesce(F.col(text), F.lit(""))))
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
