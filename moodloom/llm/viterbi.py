@@ -62,6 +62,8 @@ class Pieces:
         if across:
             raise ValueError(f"pieces reach across words: {across[:3]}")
         self.longest = max(map(len, self.score), default=1)
+        # Every end of a piece, with score and id where it is a piece itself.
+        self.ends = {p[k:]: None for p in self.score for k in range(len(p))} | self.score
         self.unknown_score = min((s for s, _ in self.score.values()), default=0.0) - 10
         back = {i: bytes([b]) for b, i in self.bytes.items()}
         text = [back.get(i, b"" if special(i) else m.id_to_piece(i).replace(MARK, " ").encode()) for i in range(n)]
@@ -76,7 +78,7 @@ class Pieces:
         out: list[list[int]] = [[]] * len(words)
         best, back = [0.0], [(0, -1)]
         previous = ""
-        score, longest = self.score, self.longest
+        score, ends = self.score, self.ends
         for k in sorted(range(len(words)), key=words.__getitem__):
             if MARK in words[k]:
                 out[k] = self.spelled(words[k])
@@ -90,9 +92,11 @@ class Pieces:
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 top, come = -np.inf, (end - 1, -1)
-                for start in range(max(0, end - longest), end):
-                    hit = score.get(word[start:end])
-                    if hit is not None and best[start] + hit[0] > top:
+                for start in range(end - 1, -1, -1):
+                    hit = ends.get(word[start:end], False)
+                    if hit is False:
+                        break
+                    if hit is not None and best[start] + hit[0] >= top:
                         top, come = best[start] + hit[0], (start, hit[1])
                 if word[end - 1] not in score and best[end - 1] + self.unknown_score > top:
                     top, come = best[end - 1] + self.unknown_score, (end - 1, -1)
