@@ -190,3 +190,11 @@ def test_sentences_are_the_text():
     for text in ("A b. C d!\n\nE", "no end", "...", "", " x. \n"):
         assert "".join(spans._SENTENCE.findall(text)) == text
     assert re.compile(spans.SENTENCE)
+
+
+def test_language_features_of_a_text_in_parts(monkeypatch):
+    texts = pa.array(["Straße und Weg " * 40, "", "x", "Ab c"], pa.string()).cast(pa.binary())
+    whole, letters = langid.profiles(texts)
+    monkeypatch.setattr(langid, "STEP", 7)
+    parts, again = langid.profiles(texts)
+    assert np.array_equal(whole, parts) and letters.tolist() == again.tolist() == [True, False, True, True]
