@@ -216,3 +216,9 @@ def test_refresh_replaces_whole_playlists(spark):
     old = spark.createDataFrame([("p", "a", 1), ("p", "b", 1), ("q", "c", 1)], "playlist_id string, track_id string, v int")
     new = spark.createDataFrame([("p", "a", 2)], "playlist_id string, track_id string, v int")
     assert sorted(map(tuple, refresh(old, new).collect())) == [("p", "a", 2), ("q", "c", 1)]
+
+
+def test_pairs_of_a_request_keep_its_order(spark):
+    asked = spark.createDataFrame([(1, [7, 3, 7]), (2, [5]), (3, []), (4, None)], "request_id int, playlist_ids array<int>")
+    got = sorted(tuple(r) for r in compare.pairs(asked).collect())
+    assert got == [(1, 3, 7), (1, 7, 3), (1, 7, 7)]
