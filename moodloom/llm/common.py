@@ -18,7 +18,7 @@ STEP_BYTES = 4 << 20
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark) -> None:
