@@ -258,12 +258,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").where(similar("su", "sv")).select("u", "v")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes, shingled again from one text each."""
+    """(node, set) of the wanted nodes (doc_id, _th, node), shingled again from one text each."""
 
     @F.arrow_udf("binary")
     def shingled(texts: pa.Array, nodes: pa.Array) -> pa.Array:
-        # Other rows may share the doc_id: only a text with the wanted set counts.
+        # Other texts may share doc_id and hash: only one with the wanted set counts.
         return pa.array(
             [
                 s.tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == n else None
@@ -272,8 +276,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             pa.binary(),
         )
 
-    ids = wanted.select(F.col("doc_id").alias("_id"), "node")
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "node")
+    texts = docs.select("doc_id", "text", _text_hash().alias("_th")).join(
+        ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
+    )
     return texts.select("node", shingled(utf8(), F.col("node")).alias("set")).where("set is not null")
 
 
@@ -329,19 +335,22 @@ def _across(promising: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     return blocks.select(F.explode(verify("rows")).alias("p")).select("p.u", "p.v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document, and ``extra`` columns of it."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, its text hash _th and its component.
+
+    ``comp`` is the smallest node of the component, null without shingles. It names
+    a component where component_id, a doc_id, may be null or shared by several.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
-    extra = extra or {}
-    all_rows = settle(sketches(docs, extra))
+    all_rows = settle(sketches(docs, {"_th": _text_hash()}))
     nodes = all_rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("row"),
         F.first("sketch").alias("sketch"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
     )
-    nodes = settle(nodes)
+    nodes = settle(nodes.select("node", "row.doc_id", "row._th", "sketch", "n_shingles", "bands"))
     release(spark)
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key")).where("key is not null")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -351,7 +360,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Co
     drop(members)
     release(spark)
     wanted = nodes.join(promising.select("node").distinct(), "node", "left_semi")
-    sets = settle(_sets(docs, wanted.select("doc_id", "node")).dropDuplicates(["node"]))
+    sets = settle(_sets(docs, wanted.select("doc_id", "_th", "node")).dropDuplicates(["node"]))
     release(spark)
 
     first = promising.select("node", F.explode("to").alias("to"))
@@ -368,14 +377,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: dict[str, Co
 
     named = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labels = settle(named.join(names, "comp").select("node", "component_id"))
-    out = (
-        all_rows.select("doc_id", "n_shingles", "node", *extra)
-        .join(labels, "node", "left")
-        .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    labels = settle(named.join(names, "comp").select("node", "comp", "component_id"))
+    out = all_rows.select("doc_id", "n_shingles", "node", "_th").join(labels, "node", "left")
+    return out.withColumn(
+        "component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     )
-    return out.select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return _grouped(docs, percent).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
@@ -383,19 +395,14 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the row with its smallest doc_id.
 
     Documents without shingles stay. Rows equal in doc_id and text are one
-    document and stay once; of a component without any id one text stays.
+    document and stay once; of a component without any id one text stays, and
+    components that share a doc_id keep one text each.
     """
-    names = {
-        "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
-        "_th": F.xxhash64(F.coalesce("text", F.lit(""))),
-    }
-    found = near_duplicates(docs, percent, extra={"_th": names["_th"]})
-    keep = found.where("kept").groupBy("component_id").agg(F.min("_th").alias("_th"))
-    alone = found.where("kept and n_shingles = 0").select("component_id", "_th")
-    keep = settle(
-        keep.union(alone)
-        .select(F.coalesce(F.col("component_id").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), "_th")
-        .distinct()
-    )
+    names = {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "_th": _text_hash()}
+    found = _grouped(docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("row")
+    linked_rows = found.where("comp is not null").groupBy("comp").agg(first).select("row.doc_id", "row._th")
+    alone = found.where("comp is null").select("doc_id", "_th")
+    keep = settle(linked_rows.union(alone).select(names["_id"].alias("_id"), "_th").distinct())
     columns = docs.columns
     return docs.withColumns(names).join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(columns)

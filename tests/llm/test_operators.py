@@ -112,6 +112,20 @@ def test_near_duplicates(docs, empty):
     assert hyperminhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_without_ids_and_with_equal_ids(spark):
+    """Unrelated texts stay, whatever their ids: a component is not named by its doc_id."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " more")]
+    rows += [(7, text("d")), (7, text("e")), (7, text("e") + " more"), (8, text("e")), (None, text("d"))]
+    rows += [(None, ""), (None, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], KIND)
+    left = [(r["doc_id"], r["text"] or "") for r in hyperminhash.one_of_each(docs).collect()]
+    alone = [(None, text("a")), (None, text("b")), (7, text("d")), (None, ""), (7, "")]
+    assert [x for x in alone if left.count(x) != 1] == [] and len(left) == 7
+    assert sum(d is None and t.startswith("cw") for d, t in left) == 1
+    assert sum(d == 7 and t.startswith("ew") for d, t in left) == 1
+
+
 def test_blocks_find_what_stars_miss(spark, monkeypatch):
     """A chain of texts, each linked with the next alone, in blocks of two rows."""
     monkeypatch.setattr(hyperminhash, "BLOCK", 2)
