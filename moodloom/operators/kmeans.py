@@ -21,6 +21,8 @@ from moodloom.operators.vectors import mean_vectors
 from moodloom.session import cut, cut_in_place, settle
 
 BLOCK_ROWS = 1024
+#: Rows of a playlist on either side of one block of distances.
+PAIR_ROWS = 2048
 
 
 def pack(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -308,53 +310,123 @@ def label(blocks: DataFrame, state: DataFrame, keep_vec: bool = False) -> DataFr
     return _on_blocks(blocks, state).mapInArrow(assign, ddl)
 
 
-def silhouette_exact(labelled: DataFrame) -> DataFrame:
-    """(playlist_id, k, score): mean Euclidean silhouette.
+def block_pairs(labelled: DataFrame, block_rows: int = PAIR_ROWS) -> DataFrame:
+    """(playlist_id, block, rows, other, refs, cl): every block of a playlist with each of its blocks.
 
-    For playlists of a checked size only (see ``silhouette``): one bounded
-    playlist is one group, its distances are made once for all k.
+    A track goes to a block by its hash, so no row holds more than about two
+    blocks of ``block_rows``. ``cl`` are the clusters (k, cluster_id, size) of the
+    playlist; a k with one cluster, or one cluster per track, has no score.
+    """
+    size = labelled.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("n"))
+    keyed = labelled.join(size, "playlist_id").withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    blocks = settle(
+        keyed.withColumn("block", F.pmod(F.xxhash64("track_id"), F.col("blocks")))
+        .groupBy("playlist_id", "block")
+        .agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("vec", "labels")).alias("rows"))
+    )
+    clusters = (
+        labelled.select("playlist_id", F.explode("labels").alias("l"))
+        .groupBy("playlist_id", "l.k", "l.cluster_id")
+        .agg(F.count(F.lit(1)).alias("size"))
+    )
+    held = (
+        clusters.groupBy("playlist_id", "k")
+        .agg(F.sum("size").alias("n"), F.collect_list(F.struct("k", "cluster_id", "size")).alias("cl"))
+        .filter((F.size("cl") >= 2) & (F.size("cl") < F.col("n")))
+        .groupBy("playlist_id")
+        .agg(F.array_sort(F.flatten(F.collect_list("cl"))).alias("cl"))
+    )
+    refs = blocks.select(
+        "playlist_id",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+        F.col("block").alias("other"),
+        F.col("rows").alias("refs"),
+    )
+    mine = blocks.join(held, "playlist_id").select("playlist_id", "block", "rows", "cl")
+    return mine.join(refs, ["playlist_id", "block"])
+
+
+def silhouette_exact(labelled: DataFrame, block_rows: int = PAIR_ROWS) -> DataFrame:
+    """(playlist_id, k, score): mean Euclidean silhouette of playlists of any size.
+
+    All distances of a playlist are made, a pair of blocks at a time; out come
+    the parts of a point's mean distance to each cluster, which Spark adds up.
     """
     pid = labelled.schema["playlist_id"].dataType
 
-    def score(table: pa.Table) -> pa.Table:
-        x = table.column("vec").combine_chunks()
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        labels = table.column("labels").combine_chunks()
-        flat = labels.flatten()
-        ks = flat.field("k").to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        cl = flat.field("cluster_id").to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ x.T) + (x * x).sum(1)[None, :], 0.0))
-        np.fill_diagonal(d, 0.0)
-        out_k, out_s = [], []
+    def vectors(column, i):
+        rows = column[i].values
+        flat = rows.field("labels").flatten()
+        ks = flat.field("k").to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        cl = flat.field("cluster_id").to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        return rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1), ks, cl
+
+    def member(ks, cl, held):
+        """Which of the clusters each point is in, as 0 and 1."""
+        one = np.zeros((len(ks), len(held[0])))
         for j in range(ks.shape[1]):
-            ids = np.unique(cl[:, j])
-            if len(ids) < 2 or len(ids) >= len(x):
-                continue
-            one = (cl[:, j][:, None] == ids[None, :]).astype(float)
-            size = one.sum(0)
-            sums = d @ one
-            own = one.argmax(1)
-            at = np.arange(len(x))
-            a = sums[at, own] / np.maximum(size[own] - 1, 1)
-            others = sums / size[None, :]
-            others[at, own] = np.inf
-            b = others.min(1)
-            top = np.maximum(a, b)
-            s = np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-            out_k.append(int(ks[0, j]))
-            out_s.append(float(s.mean()))
-        head = [table.column("playlist_id")[0].as_py()] * len(out_k)
-        return pa.table(
-            {
-                "playlist_id": pa.array(head, to_arrow_type(pid)),
-                "k": pa.array(out_k, pa.int32()),
-                "score": pa.array(out_s, pa.float64()),
-            }
+            one += (ks[:, j][:, None] == held[0][None, :]) & (cl[:, j][:, None] == held[1][None, :])
+        return one
+
+    def parts(key, held, own, sums):
+        k, cluster, size = held
+        far = sums / np.where(own, np.maximum(size - 1, 1), size)
+        alone = np.zeros(own.shape, bool)
+        for one in np.unique(k):
+            alone[:, k == one] = (own & (size == 1))[:, k == one].any(1)[:, None]
+        n, m = own.shape
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([key[0]] * (n * m), to_arrow_type(pid)),
+                pa.array(np.full(n * m, key[1], np.int64)),
+                pa.array(np.repeat(np.arange(n, dtype=np.int32), m)),
+                pa.array(np.tile(k.astype(np.int32), n)),
+                pa.array(np.tile(cluster.astype(np.int32), n)),
+                pa.array(own.reshape(-1)),
+                pa.array(alone.reshape(-1)),
+                pa.array(far.reshape(-1)),
+            ],
+            names=["playlist_id", "block", "place", "k", "cluster_id", "own", "alone", "far"],
         )
 
-    return labelled.groupBy("playlist_id").applyInArrow(
-        score, f"playlist_id {pid.simpleString()}, k int, score double"
+    def meet(batches):
+        key = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = (batch.column("playlist_id")[i].as_py(), batch.column("block")[i].as_py())
+                if at != key:
+                    if key is not None:
+                        yield parts(key, held, own, sums)
+                    key, cl = at, batch.column("cl")[i].values
+                    held = [cl.field(f).to_numpy(zero_copy_only=False) for f in ("k", "cluster_id", "size")]
+                    x, ks, ids = vectors(batch.column("rows"), i)
+                    own = member(ks, ids, held) > 0
+                    sums = np.zeros(own.shape)
+                y, ks, ids = vectors(batch.column("refs"), i)
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ y.T) + (y * y).sum(1)[None, :], 0.0))
+                if batch.column("other")[i].as_py() == key[1]:
+                    np.fill_diagonal(d, 0.0)
+                sums += d @ member(ks, ids, held)
+        if key is not None:
+            yield parts(key, held, own, sums)
+
+    point = ["playlist_id", "block", "place", "k", "alone"]
+    far = (
+        block_pairs(labelled, block_rows)
+        .mapInArrow(
+            meet,
+            f"playlist_id {pid.simpleString()}, block bigint, place int, k int, cluster_id int,"
+            " own boolean, alone boolean, far double",
+        )
+        .groupBy(*point, "cluster_id", "own")
+        .agg(F.sum("far").alias("far"))
+    )
+    both = far.groupBy(*point).agg(
+        F.max(F.when(F.col("own"), F.col("far"))).alias("a"), F.min(F.when(~F.col("own"), F.col("far"))).alias("b")
     )
+    top = F.greatest("a", "b")
+    s = F.when(F.col("alone") | (top <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    return both.groupBy("playlist_id", "k").agg(F.avg(s).alias("score"))
 
 
 def silhouette_moments(points: DataFrame) -> DataFrame:
@@ -405,8 +477,8 @@ def silhouette(labelled: DataFrame, sizes: DataFrame, metric: str = "squared") -
     """Score of every (playlist, k), the same kind at every size.
 
     ``squared`` (default) uses squared distances by cluster moments and is linear
-    in the tracks; ``euclidean`` makes all distances of a playlist in one group
-    and is meant for playlists known to be small.
+    in the tracks; ``euclidean`` makes all distances of a playlist, in pairs of
+    blocks, so its time grows with the square of the playlist.
     """
     rows = labelled.join(sizes.select("playlist_id").distinct(), "playlist_id")
     if metric == "euclidean":

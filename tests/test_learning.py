@@ -79,6 +79,23 @@ def test_silhouette_both_ways(spark):
     assert default == pytest.approx(squared)
 
 
+def test_silhouette_in_blocks(spark):
+    """A playlist of many blocks scores as in one group, for every k, and no row holds more than two blocks."""
+    x = blobs(5, 3, 40, spread=1.0)
+    labels = np.array([0] * 50 + [1] * 49 + [2] * 20 + [3])
+    pairs = [[(2, int(i % 2)), (4, int(labels[i]))] for i in range(120)]
+    rows = [(p, i, i, [float(v) for v in x[i]], pairs[i]) for i in range(120) for p in ("p", "q")]
+    rows += [("one", i, i, [float(i), 0.0, 1.0], [(2, 0), (4, i)]) for i in range(4)]
+    frame = spark.createDataFrame(
+        rows, "playlist_id string, track_id int, pos int, vec array<double>, labels array<struct<k: int, cluster_id: int>>"
+    )
+    met = kmeans.block_pairs(frame, 16).select(F.size("rows").alias("n"), F.size("refs").alias("m")).toPandas()
+    assert met.n.max() < 60 and met.m.max() < 60 and (met.n * met.m).sum() == 2 * 120 * 120
+    got = {(r.playlist_id, r.k): r.score for r in kmeans.silhouette_exact(frame, 16).collect()}
+    want = {2: brute_silhouette(x, np.arange(120) % 2), 4: brute_silhouette(x, labels)}
+    assert got == {(p, k): pytest.approx(want[k]) for p in ("p", "q") for k in (2, 4)}
+
+
 def test_duplicate_playlist_has_equal_moods(spark):
     rng = np.random.default_rng(4)
     rows = [
