@@ -18,6 +18,7 @@ from moodloom.llm import (
     spans,
     suffixes,
     viterbi,
+    wumanber,
 )
 from moodloom.llm.common import read
 
@@ -259,3 +260,28 @@ FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN named ON named.a = v.r
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding."""
     return crosspolytope.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+_ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op13_wu_manber",
+    f"""
+WITH b AS (SELECT DISTINCT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+p AS (SELECT item_id, w, least(len(w), {wumanber.WORDS}) AS n, unnest(range(1, greatest(len(w) - {wumanber.WORDS - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM p),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+g AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n),
+h AS (SELECT r, i, s.n, item_id FROM g JOIN s ON s.n = g.n AND s.k = array_to_string(w[i:i + g.n - 1], ' ')),
+hit AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS spot FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in test strings of the benchmark."""
+    return wumanber.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
