@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodloom.llm import (
+    bidiagonal,
     crosspolytope,
     hyperminhash,
     langid,
@@ -262,6 +263,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+@query("op12_lanczos_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return bidiagonal.whiten(read(spark, sf_dir, "embeddings"))
+
+
 _ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
