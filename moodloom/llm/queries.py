@@ -13,6 +13,7 @@ from moodloom.llm import (
     hyperminhash,
     langid,
     mixing,
+    prefixtrie,
     records,
     repetition,
     snapshots,
@@ -263,6 +264,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+# Unsigned CRC-32 of the ASCII text of a number, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(
+    "op11_prefix_trie",
+    rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k, id, words FROM (
+  SELECT conv_id, turn, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+h AS (SELECT c, c - c % {prefixtrie.GROUP} AS base, {_CRC32} % {prefixtrie.HEADS} AS h FROM n),
+g AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS taken FROM h LEFT JOIN n b ON b.c = h.base),
+r AS (
+  SELECT g.c, k AS d, id, words FROM g JOIN t ON t.c = base WHERE k <= h
+  UNION ALL SELECT g.c, taken + k - h, id, words FROM g JOIN t ON t.c = g.c WHERE k > h),
+p AS (
+  SELECT c, d, md5(string_agg(id, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS key, words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM n),
+z AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+q AS (SELECT p.*, lag(key) OVER (PARTITION BY c ORDER BY d) AS above FROM p),
+node AS (SELECT key, d, min(above) AS above, min(c) AS c, count(*) AS n, max(words) AS words FROM q GROUP BY key, d),
+kids AS (SELECT above AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY above),
+ends AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM p JOIN z USING (c, d) GROUP BY key),
+sub AS (SELECT DISTINCT a.key, b.key AS low FROM p a JOIN p b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT sub.key, sum((low.n - 1) * low.words)::BIGINT AS saved, count(*) FILTER (WHERE kids.key IS NULL) AS leaves
+  FROM sub JOIN node low ON low.key = sub.low LEFT JOIN kids ON kids.key = sub.low GROUP BY sub.key)
+SELECT node.c AS conv_id, node.d::BIGINT AS depth, up.c AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN sums ON sums.key = node.key LEFT JOIN node up ON up.key = node.above AND node.d > 0
+LEFT JOIN kids ON kids.key = node.key LEFT JOIN ends ON ends.key = node.key
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefixtrie.trie(prefixtrie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
 @query("op12_lanczos_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every embedding."""
