@@ -17,6 +17,7 @@ CTE["tracks"] = """
    p_partkey % 10 <> 3 AS has_af, p_partkey % 7 <> 2 AS has_tags,
    (p_partkey % 10 <> 3) OR (p_partkey % 7 <> 2) AS eligible,
    CASE WHEN p_size % 5 > 0 THEN 'rb' || p_partkey END AS reccobeats_id,
+   CASE WHEN p_size % 7 > 0 THEN CAST(p_size AS INT) END AS popularity,
    CASE WHEN p_partkey % 10 <> 3 THEN 1e-2*((p_partkey*19)%101) END AS acousticness,
    CASE WHEN p_partkey % 10 <> 3 THEN 1e-2*((p_partkey*71)%101) END AS danceability,
    CASE WHEN p_partkey % 10 <> 3 THEN 25e-2*(p_partkey%4) + 24e-4*((p_partkey*37)%101) END AS energy,
@@ -219,5 +220,7 @@ def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not order:
         return sql
-    body = ",\n".join(f"{n} AS MATERIALIZED ({extra.get(n) or CTE[n]})" for n in order)
-    return f"WITH {body}\n{sql}"
+    texts = {n: extra.get(n) or CTE[n] for n in order}
+    body = ",\n".join(f"{n} AS MATERIALIZED ({t})" for n, t in texts.items())
+    again = any(re.search(rf"\b{n}\b", t) for n, t in texts.items() if n in extra)
+    return f"WITH {'RECURSIVE ' if again else ''}{body}\n{sql}"

@@ -147,14 +147,24 @@ _REC = {
         SELECT playlist_id, cluster_id, chunk, j, avg(v) AS v FROM (
           SELECT playlist_id, cluster_id, chunk, generate_subscripts(vec, 1) AS j, unnest(vec) AS v
           FROM seed JOIN cat USING (track_id)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
-    "near": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id, cluster_id, chunk
+    "calls": "SELECT playlist_id, cluster_id, count(*) AS calls FROM ask GROUP BY 1, 2",
+    # A chunk cannot need more candidates than its cluster has chunks.
+    "ranked": """SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id, cluster_id, chunk
           ORDER BY distance, track_id) AS rn
         FROM (SELECT a.playlist_id, a.cluster_id, a.chunk, c.track_id, round(list_distance(a.vec, c.vec), 9) AS distance
           FROM ask a CROSS JOIN cat c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.playlist_id = a.playlist_id
-            AND i.cluster_id = a.cluster_id AND i.track_id = c.track_id))) WHERE rn <= 10""",
-    "given": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id, cluster_id, chunk ORDER BY distance, track_id) AS place
-        FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id, cluster_id, track_id ORDER BY distance, chunk) AS own FROM near)
-        WHERE own = 1) WHERE place <= 1""",
+            AND i.cluster_id = a.cluster_id AND i.track_id = c.track_id))) r
+        JOIN calls USING (playlist_id, cluster_id) WHERE rn <= greatest(10, calls)""",
+    "near": "SELECT * FROM ranked WHERE rn <= 10",
+    # Greedy matching by distance: a round gives every pair that is the first of its chunk and of its track.
+    "turn": """SELECT 0 AS round, playlist_id, cluster_id, chunk, track_id, distance, false AS won FROM ranked
+      UNION ALL SELECT * FROM (
+        SELECT round + 1 AS round, playlist_id, cluster_id, chunk, track_id, distance,
+          row_number() OVER (PARTITION BY playlist_id, cluster_id, chunk ORDER BY distance, track_id) = 1
+          AND row_number() OVER (PARTITION BY playlist_id, cluster_id, track_id ORDER BY distance, chunk) = 1 AS won
+        FROM (SELECT *, bool_or(won) OVER (PARTITION BY playlist_id, cluster_id, chunk)
+            OR bool_or(won) OVER (PARTITION BY playlist_id, cluster_id, track_id) AS out FROM turn) WHERE NOT out)""",
+    "given": "SELECT playlist_id, cluster_id, chunk, track_id, distance FROM turn WHERE won",
 }
 
 
@@ -196,7 +206,7 @@ def r5(s):
 
 def _found(s):
     _, inside, seed = _parts(s)
-    return recommend.candidates(recommend.chunks(seed), inside, recommend.catalog_vectors(s.source_tracks))
+    return recommend.candidates(recommend.chunks(seed), inside, _catalog(s), index=s.catalog)
 
 
 @query(
@@ -210,12 +220,13 @@ def r6_nearest(s):
 
 @query(
     "R7_recommendations",
-    sql("""SELECT g.playlist_id, g.cluster_id, c.label, CAST(g.chunk AS BIGINT) AS chunk, g.track_id, t.title, t.reccobeats_id
-      FROM given g JOIN chosen c USING (playlist_id, cluster_id) JOIN tracks t ON t.track_id = g.track_id""", _REC),
+    sql("""SELECT g.playlist_id, g.cluster_id, c.label, CAST(g.chunk AS BIGINT) AS chunk, g.track_id, t.title, t.reccobeats_id,
+      t.artist, t.duration_ms, t.popularity, round(g.distance, 6) AS distance FROM given g JOIN chosen c USING (playlist_id, cluster_id) JOIN tracks t ON t.track_id = g.track_id""", _REC),
 )
 def r7(s):
-    recs = recommend.recommend(s.tracks, s.clusters, s.source_tracks)
-    return recs.select("playlist_id", "cluster_id", "label", "chunk", "track_id", "title", "reccobeats_id")
+    cols = ["playlist_id", "cluster_id", "label", "chunk", "track_id", "title", "reccobeats_id", "duration_ms", "popularity"]
+    artist = F.col("artists")[0]["name"].alias("artist")
+    return s.recommendations.select(*cols, artist, r6("distance").alias("distance"))
 
 
 @query(
@@ -225,8 +236,7 @@ def r7(s):
       LEFT JOIN (SELECT playlist_id, cluster_id, count(*) AS n FROM given GROUP BY 1, 2) USING (playlist_id, cluster_id)""", _REC),
 )
 def r7b(s):
-    recs = recommend.recommend(s.tracks, s.clusters, s.source_tracks)
-    return recommend.counts(recs, _parts(s)[2])
+    return recommend.counts(s.recommendations, _parts(s)[2])
 
 
 @query(
@@ -255,8 +265,7 @@ def r7c(s):
 )
 def r8(s):
     """One row per playlist of the result set, also without any cluster."""
-    recs = recommend.recommend(s.tracks, s.clusters, s.source_tracks)
-    return recommend.per_playlist(recs, s.playlists)
+    return recommend.per_playlist(s.recommendations, s.playlists)
 
 
 @query(
@@ -282,7 +291,7 @@ def r9(s):
 
 @query("R10_total", sql("SELECT count(*) AS total FROM given", _REC))
 def r10(s):
-    return recommend.recommend(s.tracks, s.clusters, s.source_tracks).agg(F.count(F.lit(1)).alias("total"))
+    return s.recommendations.agg(F.count(F.lit(1)).alias("total"))
 
 
 @query(
@@ -329,10 +338,10 @@ def _catalog(s):
 @query(
     "D2_fix_anomalies",
     sql("""SELECT r.playlist_id, r.track_id, n.track_id AS replacement, round(n.distance, 6) AS distance, CAST(n.rn AS INT) AS rn
-      FROM rows r JOIN near_dom n USING (playlist_id) WHERE r.is_anomaly""", {**_D, "near_dom": _nearest(_DOM, 3)}),
+      FROM rows r JOIN near_dom n USING (playlist_id) WHERE r.is_anomaly""", {**_D, "ask_dom": _DOM, "near_dom": _nearest("SELECT * FROM ask_dom", 3)}),
 )
 def d2(s):
-    return recommend.fix_anomalies(s.tracks, s.clusters, s.library, _catalog(s)).withColumn("distance", r6("distance"))
+    return recommend.fix_anomalies(s.tracks, s.clusters, s.library, _catalog(s), index=s.catalog).withColumn("distance", r6("distance"))
 
 
 @query(
@@ -341,7 +350,7 @@ def d2(s):
         {**_D, "near_odd": _nearest(_ODD, 3)}),
 )
 def d3(s):
-    return recommend.lean_in(s.tracks, s.library, _catalog(s)).withColumn("distance", r6("distance"))
+    return recommend.lean_in(s.tracks, s.library, _catalog(s), index=s.catalog).withColumn("distance", r6("distance"))
 
 
 @query(
@@ -350,7 +359,7 @@ def d3(s):
         {**_D, "near_mood": _nearest(_MOOD, 5)}),
 )
 def d4(s):
-    return recommend.for_mood(s.mood_tracks, s.library, _catalog(s)).withColumn("distance", r6("distance"))
+    return recommend.for_mood(s.mood_tracks, s.library, _catalog(s), index=s.catalog).withColumn("distance", r6("distance"))
 
 
 @query(

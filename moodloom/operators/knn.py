@@ -1,28 +1,41 @@
-"""Exact nearest-neighbour join with pivots (after Lu, Shen, Chen, Ooi:
-"Efficient Processing of k Nearest Neighbor Joins using MapReduce", 2012).
-
-The catalog is cut into cells around pivots. A query's distance to the pivots
-bounds the distance of its k-th neighbour, and only cells that can hold a
-nearer track are visited. Queries and catalog meet in an equi-join on the
-cell, as bounded blocks; a task reduces each pair of blocks to k rows per
-query, so candidate pairs never become rows.
+"""Exact nearest-neighbour join over a two-level pivot index (after Lu, Shen, Chen,
+Ooi: "Efficient Processing of k Nearest Neighbor Joins using MapReduce", 2012).
+
+The catalog is cut into coarse cells around pivots and each of those into fine cells of
+about ``FINE`` tracks around pivots of its own, so the number of cells grows with the
+catalog while one level never has more than ``COARSE`` pivots in one place. A cell knows
+the distances of its nearest and its farthest track to its pivot.
+
+A search has two passes. The first looks into the fine cells at home, nearest to the
+query, and takes the distance of the k-th track found there. The second visits only
+cells that can hold a nearer one: by the triangle inequality a track of a cell lies at
+least ``d - far`` and ``near - d`` away, d being the distance to the pivot. Whole coarse
+cells drop out first, then fine cells. Queries are packed per cell after they are routed,
+so what travels is in proportion to the visited cells. A task reduces a pack of queries
+and a block of tracks to the tracks within the bound; candidate pairs never become rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from moodloom.operators.grouping import top_in_group
 from moodloom.session import settle
 
-BLOCK = 1024
-QUERY_BLOCK = 256
+#: Tracks of a fine cell, most cells of a level in one place.
+FINE, COARSE = 256, 1024
+#: Most tracks of a block (a cell of equal vectors has many), and most queries of a pack.
+BLOCK, ASKS = 1024, 512
+#: The first pass looks for this many tracks more than it has to.
+SPARE = 8
+#: What rounding may add to a distance.
+EDGE = 1e-6
 
 
 def _floats(column) -> np.ndarray:
@@ -30,176 +43,286 @@ def _floats(column) -> np.ndarray:
 
 
 def _dist(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Euclidean distances, one dimension at a time: equal vectors give equal
-    numbers whatever block they lie in; the rest of the noise is rounded off."""
-    total = np.zeros((len(q), len(c)))
-    for j in range(q.shape[1]):
-        total += (q[:, j][:, None] - c[:, j][None, :]) ** 2
+    """Distances of rows, one dimension at a time: equal vectors give equal numbers
+    whatever block they lie in; the rest of the noise is rounded off."""
+    total = np.zeros(np.broadcast_shapes(q.shape, c.shape)[:-1])
+    for j in range(q.shape[-1]):
+        total += (q[..., j] - c[..., j]) ** 2
     return np.round(np.sqrt(total), 9)
 
 
-def _cells(catalog: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot and the distance to it."""
-
-    def assign(batches):
-        for batch in batches:
-            d = _dist(_floats(batch.column("vec")), pivots)
-            near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("track_id"),
-                    batch.column("vec"),
-                    pa.array(near.astype(np.int32)),
-                    pa.array(d[np.arange(len(d)), near]),
-                ],
-                names=["track_id", "vec", "cell", "radius"],
+def _rough(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances of all pairs by one matrix product, and their largest error."""
+    qq, cc = (q * q).sum(1), (c * c).sum(1)
+    error = 1e-12 * (1.0 + float(qq.max(initial=0.0)) + float(cc.max(initial=0.0)))
+    return qq[:, None] - 2.0 * (q @ c.T) + cc[None, :], error
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each row and the distance to it."""
+    near = _rough(x, pivots)[0].argmin(1)
+    return near, _dist(x, pivots[near])
+
+
+class Index:
+    """Cells of a catalog (track_id, vec), settled once for many searches."""
+
+    def __init__(self, catalog: DataFrame, fine: int = FINE):
+        self.fine = fine
+        self.rows = settle(catalog.select("track_id", "vec"))
+        self.track_type = catalog.schema["track_id"].dataType.simpleString()
+        self.total = self.rows.count()
+
+    @property
+    def parts(self) -> int:
+        return int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    @cached_property
+    def pivots(self) -> np.ndarray:
+        """Coarse pivots: the tracks with the smallest keys."""
+        n = min(max(math.isqrt(-(-self.total // self.fine)), 1), COARSE)
+        key = F.md5(F.col("track_id").cast("string"))
+        return np.array([r[0] for r in self.rows.orderBy(key, "track_id").limit(n).select("vec").collect()], float)
+
+    @cached_property
+    def _coarse(self) -> DataFrame:
+        """(coarse, to_coarse, track_id, vec)"""
+        pivots = self.pivots
+
+        def place(batches):
+            for b in batches:
+                near, far = _to_pivots(_floats(b.column("vec")), pivots)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.astype(np.int64)), pa.array(far), b.column("track_id"), b.column("vec")],
+                    ["coarse", "to_coarse", "track_id", "vec"],
+                )
+
+        kind = f"coarse bigint, to_coarse double, track_id {self.track_type}, vec array<double>"
+        return settle(self.rows.mapInArrow(place, kind))
+
+    @cached_property
+    def coarse_radii(self) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest and farthest track of each coarse cell (one bounded row each)."""
+        near, far = np.full(len(self.pivots), np.inf), np.full(len(self.pivots), -np.inf)
+        for r in self._coarse.groupBy("coarse").agg(F.min("to_coarse"), F.max("to_coarse")).collect():
+            near[r[0]], far[r[0]] = r[1], r[2]
+        return near, far
+
+    @cached_property
+    def _fine_pivots(self) -> DataFrame:
+        """(coarse, pivots): one row of bounded size for each coarse cell."""
+        size = self._coarse.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"))
+        keyed = self._coarse.select("coarse", "track_id", "vec", F.md5(F.col("track_id").cast("string")).alias("key"))
+        first = top_in_group(keyed, ["coarse"], [F.asc("key"), F.asc("track_id")], COARSE)
+        some = first.join(size, "coarse").where(F.col("rn") <= F.ceil(F.col("n") / self.fine))
+        return settle(some.groupBy("coarse").agg(F.array_sort(F.collect_list(F.struct("rn", "vec"))).alias("pivots")))
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """(cell, radius, track_id, vec): every track in its fine cell."""
+        size = self._coarse.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"))
+        packs = (
+            self._coarse.join(size, "coarse")
+            .withColumn("salt", F.pmod(F.xxhash64("track_id"), F.ceil(F.col("n") / (4 * BLOCK))))
+            .groupBy("coarse", "salt")
+            .agg(F.collect_list(F.struct("track_id", "vec")).alias("rows"))
+            .join(self._fine_pivots, "coarse")
+        )
+
+        def place(batches):
+            for b in batches:
+                for i, coarse in enumerate(b.column("coarse").to_pylist()):
+                    rows, pivots = b.column("rows")[i].values, _floats(b.column("pivots")[i].values.field("vec"))
+                    near, far = _to_pivots(_floats(rows.field("vec")), pivots)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(coarse * COARSE + near), pa.array(far), rows.field("track_id"), rows.field("vec")],
+                        ["cell", "radius", "track_id", "vec"],
+                    )
+
+        return settle(packs.mapInArrow(place, f"cell bigint, radius double, track_id {self.track_type}, vec array<double>"))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """(cell, n, near, far)"""
+        return settle(
+            self.placed.groupBy("cell").agg(
+                F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")
+            )
+        )
+
+    @cached_property
+    def fines(self) -> DataFrame:
+        """(coarse, cells): the fine cells of each coarse one with pivot, size and radii."""
+        pivots = self._fine_pivots.select("coarse", F.posexplode("pivots").alias("fine", "p")).select(
+            (F.col("coarse") * COARSE + F.col("fine")).alias("cell"), "coarse", F.col("p.vec").alias("vec")
+        )
+        cells = pivots.join(self.sizes, "cell")
+        return settle(cells.groupBy("coarse").agg(F.collect_list(F.struct("cell", "vec", "n", "near", "far")).alias("cells")))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """(cell, block, rows): tracks in id order."""
+        salt = F.pmod(F.xxhash64("track_id"), F.ceil(F.col("n") / BLOCK))
+        keyed = self.placed.join(self.sizes.select("cell", "n"), "cell").withColumn("block", salt)
+        return settle(
+            keyed.groupBy("cell", "block").agg(F.array_sort(F.collect_list(F.struct("track_id", "vec"))).alias("rows"))
+        )
+
+    def _route(self, asks: DataFrame, home: bool) -> DataFrame:
+        """(cell, nth, asks): packs of queries with the fine cells they look into.
+
+        ``asks`` is one struct column ``ask``; with ``home`` only the nearest cells that
+        together hold enough tracks, else all that its bound does not exclude.
+        """
+        pivots, (near, far) = self.pivots, self.coarse_radii
+        ask = asks.schema["ask"].dataType.simpleString()
+
+        def chosen(d, near, far, bound):
+            return np.maximum(d - far, near - d) <= bound[:, None] + EDGE
+
+        def pack(asks, take, key, name):
+            """One row of asks for each True column of ``take``, in pieces of ASKS."""
+            keys, lists = [], []
+            for c in np.flatnonzero(take.any(0)):
+                rows = np.flatnonzero(take[:, c])
+                for a in range(0, len(rows), ASKS):
+                    keys.append(key[c])
+                    lists.append(rows[a : a + ASKS])
+            cuts = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+            held = asks.take(pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(np.arange(len(keys))), pa.ListArray.from_arrays(cuts, held)], [name, "nth", "asks"]
             )
 
-    tid = catalog.schema["track_id"].dataType.simpleString()
-    return catalog.select("track_id", "vec").mapInArrow(
-        assign, f"track_id {tid}, vec array<double>, cell int, radius double"
-    )
+        def coarse(batches):
+            for b in batches:
+                asks = b.column("ask")
+                x = _floats(asks.field("vec"))
+                d = np.sqrt(np.maximum(_rough(x, pivots)[0], 0.0))
+                if home:
+                    d[:, ~np.isfinite(near)] = np.inf
+                    take = np.arange(len(pivots))[None, :] == d.argmin(1)[:, None]
+                else:
+                    take = chosen(d, near, far, asks.field("bound").to_numpy(zero_copy_only=False))
+                yield pack(asks, take, np.arange(len(pivots)), "coarse")
+
+        def fine(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    asks, cells = b.column("asks")[i].values, b.column("cells")[i].values
+                    d = np.sqrt(np.maximum(_rough(_floats(asks.field("vec")), _floats(cells.field("vec")))[0], 0.0))
+                    n, low, high = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("n", "near", "far"))
+                    if home:
+                        need = asks.field("take").to_numpy(zero_copy_only=False) + SPARE
+                        order = d.argsort(1, kind="stable")
+                        before = n[order].cumsum(1) - n[order]
+                        take = np.zeros(d.shape, bool)
+                        np.put_along_axis(take, order, before < need[:, None], 1)
+                    else:
+                        take = chosen(d, low, high, asks.field("bound").to_numpy(zero_copy_only=False))
+                    yield pack(asks, take, cells.field("cell").to_numpy(zero_copy_only=False), "cell")
+
+        kind = f"coarse bigint, nth bigint, asks array<{ask}>"
+        packs = asks.repartition(self.parts).mapInArrow(coarse, kind)
+        met = packs.select("coarse", "asks").join(self.fines, "coarse")
+        return met.mapInArrow(fine, kind.replace("coarse", "cell"))
+
+    def _meet(self, packs: DataFrame) -> DataFrame:
+        """(playlist_id, part, qid, track_id, distance): for each query of a pack the
+        first ``take`` tracks of each block within its bound."""
+        names = ("playlist_id", "part", "qid")
+
+        def nearest(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    asks, rows = b.column("asks")[i].values, b.column("rows")[i].values
+                    q, c = _floats(asks.field("vec")), _floats(rows.field("vec"))
+                    take = asks.field("take").to_numpy(zero_copy_only=False)
+                    bound = asks.field("bound").to_numpy(zero_copy_only=False)
+                    d, error = _rough(q, c)
+                    limit = (bound + EDGE) ** 2 + error
+                    m = int(min(take.max(initial=1), len(c)))
+                    if m < len(c):  # no more than the first m can be wanted
+                        limit = np.minimum(limit, np.partition(d, m - 1, axis=1)[:, m - 1] + 2 * error + EDGE)
+                    who, col = np.nonzero(d <= limit[:, None])
+                    d = _dist(q[who], c[col])
+                    inside = d <= bound[who]
+                    who, col, d = who[inside], col[inside], d[inside]
+                    order = np.lexsort((col, d, who))
+                    who, col, d = who[order], col[order], d[order]
+                    rank = np.arange(len(who)) - np.searchsorted(who, who)
+                    who, col, d = (x[rank < take[who]] for x in (who, col, d))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[asks.field(c).take(pa.array(who)) for c in names], rows.field("track_id").take(pa.array(col)), pa.array(d)],
+                        [*names, "track_id", "distance"],
+                    )
 
+        own = packs.schema["asks"].dataType.elementType
+        kind = ", ".join(f"{c} {own[c].dataType.simpleString()}" for c in names)
+        met = packs.repartition(self.parts, "cell", "nth").join(self.blocks, "cell").select("asks", "rows")
+        return met.mapInArrow(nearest, f"{kind}, track_id {self.track_type}, distance double")
 
-def knn_join(queries: DataFrame, catalog: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` nearest catalog tracks of every query that are not members.
+    def nearest(self, queries: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+        """The ``k`` nearest tracks of every query that are not members.
 
-    queries: (playlist_id, part, qid, vec); members: (playlist_id, part,
-    track_id), left out for the queries of the same (playlist_id, part).
-    Returns (playlist_id, part, qid, track_id, distance, rn); ties by id.
-    """
-    catalog = settle(catalog.select("track_id", "vec"))
-    total = catalog.count()
-    if total == 0:
-        return queries.select("playlist_id", "part", "qid").limit(0).join(
-            catalog.select("track_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rn")), F.lit(False)
+        queries: (playlist_id, part, qid, vec); members: (playlist_id, part, track_id),
+        left out for the queries of the same (playlist_id, part). Returns (playlist_id,
+        part, qid, track_id, distance, rn); ties by id.
+        """
+        keys = ["playlist_id", "part"]
+        if self.total == 0:
+            return queries.select(*keys, "qid").limit(0).join(
+                self.rows.select("track_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rn")), F.lit(False)
+            )
+        fields = ["playlist_id", "part", "qid", "vec", "bound", "take"]
+        queries = settle(queries.select(*keys, "qid", F.col("vec").cast("array<double>").alias("vec")))
+        first = queries.withColumns({"bound": F.lit(float("inf")), "take": F.lit(k).cast("bigint")})
+        routed = self._route(first.select(F.struct(*fields).alias("ask")), True)
+        # At home, a query asks for as many tracks more as members of its playlist lie in the cell.
+        lost = members.join(self.placed.select("track_id", "cell"), "track_id").groupBy(*keys, "cell").agg(
+            F.count(F.lit(1)).alias("lost")
         )
-    # A few hundred pivots at most: they and the cell table fit the driver.
-    cells = int(min(max(math.isqrt(total) // 4, 1), 512))
-    start = catalog.orderBy(F.md5(F.col("track_id").cast("string"))).limit(cells).select("vec")
-    pivots = np.array([r[0] for r in start.collect()], dtype=float)
-    placed = settle(_cells(catalog, pivots))
-    table = {
-        r["cell"]: (r["n"], r["r"])
-        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")).collect()
-    }
-    counts = np.array([table.get(i, (0, 0.0))[0] for i in range(len(pivots))])
-    radii = np.array([table.get(i, (0, -np.inf))[1] for i in range(len(pivots))])
-
-    size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_rows"))
-    numbered = placed.join(F.broadcast(size), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("track_id"), F.ceil(F.col("cell_rows") / BLOCK))
-    )
-    blocks = settle(
-        numbered.groupBy("cell", "block").agg(
-            F.array_sort(F.collect_list(F.struct("track_id", "vec"))).alias("rows")
+        at_home = settle(
+            routed.select("cell", F.explode("asks").alias("a"))
+            .select("cell", "a.*")
+            .join(lost, [*keys, "cell"], "left")
+            .withColumn("take", F.col("take") + F.coalesce("lost", F.lit(0)))
         )
-    )
-    at_home = numbered.select("track_id", "cell", "block")
-    left_out = (
-        members.join(at_home, "track_id")
-        .groupBy("playlist_id", "cell", "block")
-        .agg(F.collect_list(F.struct("track_id", "part")).alias("skip"))
-    )
-    own = members.groupBy("playlist_id", "part").agg(F.count(F.lit(1)).alias("members"))
-    asked = queries.join(own, ["playlist_id", "part"], "left").withColumn(
-        "need", F.coalesce("members", F.lit(0)) + k
-    )
-    per = queries.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("queries"))
-    packed = (
-        asked.join(per, "playlist_id")
-        .withColumn(
-            "qblock", F.pmod(F.xxhash64("part", "qid"), F.ceil(F.col("queries") / QUERY_BLOCK))
+        per = at_home.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKS).alias("packs"))
+        packs = (
+            at_home.join(per, "cell")
+            .withColumn("nth", F.pmod(F.xxhash64(*keys, "qid"), F.col("packs")))
+            .groupBy("cell", "nth")
+            .agg(F.collect_list(F.struct(*fields)).alias("asks"))
         )
-        .groupBy("playlist_id", "qblock")
-        .agg(F.collect_list(F.struct("part", "qid", "vec", "need")).alias("asks"))
-    )
-    pid, part, qid = (queries.schema[c].dataType for c in ("playlist_id", "part", "qid"))
-    tid = catalog.schema["track_id"].dataType
-    ask_ddl = (
-        f"array<struct<part: {part.simpleString()}, qid: {qid.simpleString()},"
-        " vec: array<double>, need: bigint>>"
-    )
-
-    def visit(batches):
-        """Cells a block of queries has to look into."""
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                asks = batch.column("asks")[i].values
-                d = _dist(_floats(asks.field("vec")), pivots)
-                need = asks.field("need").to_numpy(zero_copy_only=False)
-                upper = np.where(counts > 0, d + radii, np.inf)
-                order = upper.argsort(1)
-                held = counts[order].cumsum(1)
-                enough = held >= need[:, None]
-                first = np.where(enough.any(1), enough.argmax(1), len(counts) - 1)
-                bound = np.sort(upper, 1)[np.arange(len(d)), first]
-                bound = np.where(enough.any(1), bound, np.inf)
-                low = d - radii
-                out.append(np.flatnonzero(((low <= bound[:, None] + 1e-6) & (counts > 0)).any(0)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("playlist_id"),
-                    batch.column("qblock"),
-                    batch.column("asks"),
-                    pa.array(out, pa.list_(pa.int32())),
-                ],
-                names=["playlist_id", "qblock", "asks", "cells"],
+        mine = members.select(*keys, "track_id").distinct()
+        rank = [F.asc("distance"), F.asc("track_id")]
+        near = top_in_group(self._meet(packs).join(mine, [*keys, "track_id"], "left_anti"), [*keys, "qid"], rank, k)
+        edge = near.where(F.col("rn") == k).select(*keys, "qid", F.col("distance").alias("bound"))
+        own = mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
+        second = (
+            queries.join(edge, [*keys, "qid"], "left")
+            .join(own, keys, "left")
+            .withColumns(
+                {
+                    "bound": F.coalesce("bound", F.lit(float("inf"))),
+                    "take": F.coalesce("members", F.lit(0)) + F.lit(k).cast("bigint"),
+                }
             )
+        )
+        self.routed = self._route(settle(second.select(F.struct(*fields).alias("ask"))), False)
+        found = self._meet(self.routed).join(mine, [*keys, "track_id"], "left_anti")
+        return top_in_group(found, [*keys, "qid"], rank, k)
+
+    def visited_share(self) -> float:
+        """Share of (query, track) pairs that the second pass of the last search looks at."""
+        asked = self.routed.select("cell", F.size("asks").alias("asks")).join(self.sizes, "cell")
+        seen = asked.agg(F.sum(F.col("asks") * F.col("n"))).first()[0] or 0
+        queries = self.routed.select(F.explode("asks").alias("a")).select("a.playlist_id", "a.part", "a.qid").distinct().count()
+        return seen / max(1, queries * self.total)
 
-    routed = packed.mapInArrow(
-        visit,
-        f"playlist_id {pid.simpleString()}, qblock bigint, asks {ask_ddl}, cells array<int>",
-    )
-    # Block keys and members come first, the block rows last: only the queries
-    # travel to a block, its rows are never shuffled along with them.
-    met = (
-        routed.select("playlist_id", "asks", F.explode("cells").alias("cell"))
-        .join(blocks.select("cell", "block"), "cell")
-        .join(left_out, ["playlist_id", "cell", "block"], "left")
-        .join(blocks, ["cell", "block"])
-        .select("playlist_id", "asks", "rows", "skip")
-    )
-
-    def nearest(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                asks, rows = batch.column("asks")[i].values, batch.column("rows")[i].values
-                d = _dist(_floats(asks.field("vec")), _floats(rows.field("vec")))
-                if batch.column("skip")[i].is_valid:
-                    ids = rows.field("track_id").to_pylist()
-                    at = {t: j for j, t in enumerate(ids)}
-                    parts = np.array(asks.field("part").to_pylist(), dtype=object)
-                    skip = batch.column("skip")[i].values
-                    by_part: dict = {}
-                    for t, p in zip(skip.field("track_id").to_pylist(), skip.field("part").to_pylist()):
-                        by_part.setdefault(p, []).append(at[t])
-                    for p, cols in by_part.items():
-                        d[np.ix_(np.flatnonzero(parts == p), cols)] = np.inf
-                # The k nearest of the block; rows lie in id order, ties go by id.
-                m = min(k, d.shape[1])
-                edge = np.partition(d, m - 1, axis=1)[:, m - 1][:, None]
-                less, tie = d < edge, d == edge
-                room = m - less.sum(1)[:, None]
-                who, col = np.nonzero((less | (tie & (tie.cumsum(1) <= room))) & np.isfinite(d))
-                n = len(who)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("playlist_id")[i].as_py()] * n, to_arrow_type(pid)),
-                        asks.field("part").take(pa.array(who)),
-                        asks.field("qid").take(pa.array(who)),
-                        rows.field("track_id").take(pa.array(col)),
-                        pa.array(d[who, col]),
-                    ],
-                    names=["playlist_id", "part", "qid", "track_id", "distance"],
-                )
 
-    found = met.mapInArrow(
-        nearest,
-        f"playlist_id {pid.simpleString()}, part {part.simpleString()}, qid {qid.simpleString()},"
-        f" track_id {tid.simpleString()}, distance double",
-    )
-    return top_in_group(
-        found, ["playlist_id", "part", "qid"], [F.asc("distance"), F.asc("track_id")], k
-    )
+def knn_join(queries: DataFrame, catalog: DataFrame | Index, members: DataFrame, k: int = 10) -> DataFrame:
+    """``Index.nearest`` over a catalog that is searched once, or over an index."""
+    index = catalog if isinstance(catalog, Index) else Index(catalog)
+    return index.nearest(queries, members, k)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodloom.functions.columns import link_id
-from moodloom.operators.grouping import keep_first, rank_in_group, top_in_group
-from moodloom.operators.knn import knn_join
+from moodloom.operators.grouping import keep_first, rank_in_group
+from moodloom.operators.knn import Index, knn_join
 from moodloom.operators.reports import by_label
 from moodloom.operators.vectors import mean_vectors
 from moodloom.schema import FEATURES
+from moodloom.session import settle
 
 MAX_SEEDS = 5
 SIZE = 1
@@ -72,10 +73,10 @@ def chunk_vectors(seed_chunks: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def candidates(
-    seed_chunks: DataFrame, member_rows: DataFrame, catalog: DataFrame, k: int = 10, blend: float = 0.0
+def asked_vectors(
+    seed_chunks: DataFrame, member_rows: DataFrame, catalog: DataFrame, blend: float = 0.0
 ) -> DataFrame:
-    """The ``k`` nearest catalog tracks of each chunk outside its cluster.
+    """(playlist_id, cluster_id, chunk, vec): what each chunk asks for.
 
     ``blend`` moves the chunk towards the mean of its cluster: 0 asks for the
     chunk alone, 1 for the cluster mean.
@@ -87,36 +88,135 @@ def candidates(
         asked = asked.join(mean, keys).withColumn(
             "vec", F.zip_with("vec", "mean", lambda x, m: x * (1 - blend) + m * blend)
         )
-    asked = asked.select(
-        "playlist_id", F.col("cluster_id").alias("part"), F.col("chunk").alias("qid"), "vec"
-    )
-    inside = member_rows.select("playlist_id", F.col("cluster_id").alias("part"), "track_id")
-    found = knn_join(asked, catalog, inside, k)
-    return found.withColumnsRenamed({"part": "cluster_id", "qid": "chunk"})
+    return asked.select("playlist_id", "cluster_id", "chunk", "vec")
 
 
-def assign_to_chunks(found: DataFrame, size: int = SIZE) -> DataFrame:
-    """Each candidate goes to its nearest chunk of the cluster, then a chunk
-    keeps its ``size`` nearest: no track twice in a cluster."""
-    nearest = found.groupBy("playlist_id", "cluster_id", "track_id").agg(
-        F.min(F.struct("distance", "chunk")).alias("b")
-    )
-    flat = nearest.select("playlist_id", "cluster_id", "track_id", "b.distance", "b.chunk")
-    return top_in_group(
-        flat, ["playlist_id", "cluster_id", "chunk"], [F.asc("distance"), F.asc("track_id")], size
-    ).drop("rn")
+_BACK = {"part": "cluster_id", "qid": "chunk"}
+
+
+def _asks(asked: DataFrame) -> DataFrame:
+    return asked.withColumnsRenamed({c: name for name, c in _BACK.items()})
+
+
+def _outside(member_rows: DataFrame) -> DataFrame:
+    return member_rows.select("playlist_id", F.col("cluster_id").alias("part"), "track_id")
+
+
+def candidates(
+    seed_chunks: DataFrame,
+    member_rows: DataFrame,
+    catalog: DataFrame,
+    k: int = 10,
+    blend: float = 0.0,
+    index: Index | None = None,
+) -> DataFrame:
+    """The ``k`` nearest catalog tracks of each chunk outside its cluster."""
+    asked = asked_vectors(seed_chunks, member_rows, catalog, blend)
+    return knn_join(_asks(asked), index or catalog, _outside(member_rows), k).withColumnsRenamed(_BACK)
+
+
+def match(found: DataFrame, size: int = SIZE) -> DataFrame:
+    """The greedy matching of chunks and candidates by distance: no track twice in a
+    cluster, at most ``size`` tracks a chunk.
+
+    The pair with the smallest (distance, chunk, track_id) is given first, then the next
+    one whose chunk has room and whose track is free. That order needs no single place:
+    a pair that is among the first of its chunk and the first of its track wins whatever
+    happens elsewhere, so each round gives all such pairs at once and drops what they
+    exclude. Rounds end when no pair is left.
+    """
+    cluster = ["playlist_id", "cluster_id"]
+    cols = [*cluster, "chunk", "track_id", "distance"]
+    rank = F.row_number().over(Window.partitionBy(*cluster, "chunk").orderBy("distance", "track_id"))
+    live, given = found.select(*cols, F.lit(size).alias("room")), None
+    while True:
+        ahead = F.min(F.struct("distance", "chunk")).over(Window.partitionBy(*cluster, "track_id"))
+        marked = settle(
+            live.withColumn("rn", rank)
+            .withColumn("ahead", ahead)
+            .withColumn("won", (F.col("rn") <= F.col("room")) & (F.col("ahead") == F.struct("distance", "chunk")))
+            .drop("rn", "ahead")
+        )
+        won = marked.where("won")
+        given = won.select(cols) if given is None else given.union(won.select(cols))
+        if marked.isEmpty():
+            return given
+        used = won.groupBy(*cluster, "chunk").agg(F.count(F.lit(1)).alias("used"))
+        live = (
+            marked.where("NOT won")
+            .join(won.select(*cluster, "track_id"), [*cluster, "track_id"], "left_anti")
+            .join(used, [*cluster, "chunk"], "left")
+            .select(*cols, (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+            .where("room > 0")
+        )
+
+
+def _lists(asked: DataFrame, inside: DataFrame, index: Index, k: int) -> DataFrame:
+    """The ``k`` nearest candidates of each chunk, and the ``k`` they were asked with."""
+    found = index.nearest(_asks(asked), _outside(inside), k).withColumnsRenamed(_BACK)
+    return settle(found.drop("rn").withColumn("asked_k", F.lit(k)))
+
+
+def serve(asked: DataFrame, inside: DataFrame, index: Index, size: int = SIZE, k: int = 10) -> DataFrame:
+    """(playlist_id, cluster_id, chunk, track_id, distance): the greedy matching of every
+    chunk with the whole catalog outside its cluster.
+
+    Chunks start with their ``k`` nearest candidates. A chunk that ends up short asks
+    again for more, alone, and its cluster is matched anew; a list is long enough when
+    it holds the whole catalog, or as many tracks as all chunks of the cluster can take.
+    """
+    cluster, chunk = ["playlist_id", "cluster_id"], ["playlist_id", "cluster_id", "chunk"]
+    full = asked.groupBy(*cluster).agg((F.count(F.lit(1)) * size).alias("full"))
+    lists = _lists(asked, inside, index, k)
+    done, open_rows = None, asked.select(chunk)
+    while True:
+        given = settle(match(lists, size))
+        held = lists.groupBy(*chunk).agg(F.count(F.lit(1)).alias("listed"), F.max("asked_k").alias("asked_k"))
+        got = given.groupBy(*chunk).agg(F.count(F.lit(1)).alias("got"))
+        # A list that is not full has reached the end of the catalog.
+        short = settle(
+            open_rows.join(held, chunk, "left")
+            .join(got, chunk, "left")
+            .join(full, cluster)
+            .where((F.coalesce("got", F.lit(0)) < size) & (F.col("listed") == F.col("asked_k")) & (F.col("listed") < F.col("full")))
+            .select(*chunk)
+        )
+        again = short.select(*cluster).distinct()
+        ready = given.join(again, cluster, "left_anti")
+        done = ready if done is None else done.union(ready)
+        if short.isEmpty():
+            return done
+        k *= 4
+        more = _lists(asked.join(short, chunk, "left_semi"), inside, index, k)
+        kept = lists.join(again, cluster, "left_semi").join(short, chunk, "left_anti")
+        lists = settle(kept.unionByName(more))
+        open_rows = settle(open_rows.join(again, cluster, "left_semi"))
 
 
 def recommend(
-    rows: DataFrame, clusters: DataFrame, tracks: DataFrame, size: int = SIZE, k: int = 10, blend: float = 0.0
+    rows: DataFrame,
+    clusters: DataFrame,
+    tracks: DataFrame,
+    size: int = SIZE,
+    k: int = 10,
+    blend: float = 0.0,
+    index: Index | None = None,
 ) -> DataFrame:
-    """Recommendations of all clusters of all playlists. Empty in, empty out."""
+    """Recommendations of all clusters of all playlists. Empty in, empty out.
+
+    ``size`` tracks for every chunk of seeds while the catalog has tracks left outside
+    the cluster; ``index`` is an index of ``catalog_vectors(tracks)`` that already exists.
+    """
     chosen = label_clusters(clusters)
     inside = members(rows, chosen)
-    found = candidates(chunks(seeds(inside)), inside, catalog_vectors(tracks), k, blend)
-    titled = assign_to_chunks(found, size).join(chosen.select("playlist_id", "cluster_id", "label"), ["playlist_id", "cluster_id"])
+    catalog = catalog_vectors(tracks)
+    asked = settle(asked_vectors(chunks(seeds(inside)), inside, catalog, blend))
+    given = serve(asked, inside, index or Index(catalog), size, k)
+    titled = given.join(chosen.select("playlist_id", "cluster_id", "label"), ["playlist_id", "cluster_id"])
     cols = ["track_id", "reccobeats_id", "title", "artists", "duration_ms"]
-    return titled.join(tracks.select(*cols), "track_id")
+    # A catalog without the column leaves the popularity open.
+    popularity = F.col("popularity") if "popularity" in tracks.columns else F.lit(None).cast("int").alias("popularity")
+    return titled.join(tracks.select(*cols, popularity), "track_id")
 
 
 def counts(recs: DataFrame, seed_rows: DataFrame) -> DataFrame:
@@ -191,7 +291,7 @@ def _whole(lib: DataFrame) -> DataFrame:
     return lib.select("playlist_id", F.lit(0).alias("part"), "track_id")
 
 
-def fix_anomalies(rows: DataFrame, clusters: DataFrame, lib: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
+def fix_anomalies(rows: DataFrame, clusters: DataFrame, lib: DataFrame, catalog: DataFrame, k: int = 3, index: Index | None = None) -> DataFrame:
     """For every anomaly the tracks outside its playlist that lie nearest to
     the playlist's dominant cluster."""
     from moodloom.operators.analysis import dominant
@@ -202,20 +302,20 @@ def fix_anomalies(rows: DataFrame, clusters: DataFrame, lib: DataFrame, catalog:
     )
     center = mean_vectors(inside.join(catalog, "track_id"), ["playlist_id"], "vec", "vec")
     asked = center.select("playlist_id", F.lit(0).alias("part"), F.lit(0).alias("qid"), "vec")
-    best = knn_join(asked, catalog, _whole(lib), k).select(
+    best = knn_join(asked, index or catalog, _whole(lib), k).select(
         "playlist_id", F.col("track_id").alias("replacement"), "distance", "rn"
     )
     return rows.filter("is_anomaly").select("playlist_id", "track_id").join(best, "playlist_id")
 
 
-def lean_in(rows: DataFrame, lib: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
+def lean_in(rows: DataFrame, lib: DataFrame, catalog: DataFrame, k: int = 3, index: Index | None = None) -> DataFrame:
     """Tracks outside the playlist nearest to each anomaly itself."""
     asked = (
         rows.filter("is_anomaly")
         .join(catalog, "track_id")
         .select("playlist_id", F.lit(0).alias("part"), F.col("track_id").alias("qid"), "vec")
     )
-    found = knn_join(asked, catalog, _whole(lib), k)
+    found = knn_join(asked, index or catalog, _whole(lib), k)
     return found.select("playlist_id", F.col("qid").alias("anomaly"), "track_id", "distance", "rn")
 
 
@@ -223,14 +323,14 @@ def mood_centers(mood_tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     return mean_vectors(mood_tracks.join(catalog, "track_id"), ["mood_label"], "vec", "vec")
 
 
-def for_mood(mood_tracks: DataFrame, lib: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
+def for_mood(mood_tracks: DataFrame, lib: DataFrame, catalog: DataFrame, k: int = 5, index: Index | None = None) -> DataFrame:
     """Per playlist and mood it has: the tracks outside the playlist nearest
     to the centre of that mood over all playlists."""
     has = mood_tracks.select("playlist_id", "mood_label").distinct()
     asked = has.join(mood_centers(mood_tracks, catalog), "mood_label").select(
         "playlist_id", F.lit(0).alias("part"), F.col("mood_label").alias("qid"), "vec"
     )
-    found = knn_join(asked, catalog, _whole(lib), k)
+    found = knn_join(asked, index or catalog, _whole(lib), k)
     return found.select("playlist_id", F.col("qid").alias("mood_label"), "track_id", "distance", "rn")
 
 

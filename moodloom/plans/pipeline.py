@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodloom.operators import analysis, features, kmeans
+from moodloom.operators import analysis, features, kmeans, recommend
+from moodloom.operators.knn import Index
 from moodloom.operators.state import replace_playlists
 from moodloom.session import settle
 
@@ -114,6 +115,16 @@ class Analysis:
     def excluded(self) -> DataFrame:
         return analysis.excluded(self.tracks)
 
+    @cached_property
+    def catalog(self) -> Index:
+        """Index of the audio features of all tracks, for nearest-neighbour searches."""
+        return Index(recommend.catalog_vectors(self.source_tracks))
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        """A track for every five seeds of every cluster."""
+        return settle(recommend.recommend(self.tracks, self.clusters, self.source_tracks, index=self.catalog))
+
 
 def analyze(playlists: DataFrame, items: DataFrame, tracks: DataFrame, **params) -> Analysis:
     return Analysis(playlists, items, tracks, **params)

@@ -48,6 +48,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
               ELSE CAST(array() AS ARRAY<STRUCT<name: STRING, count: INT>>) END"""
         ).alias("tags"),
         F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("rb"), F.col(key))).alias("reccobeats_id"),
+        F.when(F.col("p_size") % 7 > 0, F.col("p_size").cast("int")).alias("popularity"),
     )
 
 

@@ -19,7 +19,7 @@ def recs(s):
 
 
 def test_recommendations_have_the_required_columns(recs):
-    assert {"track_id", "reccobeats_id", "title", "artists", "duration_ms"} <= set(recs.columns)
+    assert {"track_id", "reccobeats_id", "title", "artists", "duration_ms", "popularity"} <= set(recs.columns)
     assert recs.filter("track_id IS NULL").count() == 0
 
 
@@ -33,8 +33,48 @@ def test_five_seeds_to_one(s, recs):
     chosen = recommend.label_clusters(s.clusters)
     seeds = recommend.seeds(recommend.members(s.tracks, chosen))
     for r in recommend.counts(recs, seeds).collect():
-        calls = -(-r.num_input_tracks // 5)
-        assert calls / 2 <= r.num_recommendations <= calls
+        assert r.num_recommendations == -(-r.num_input_tracks // 5)
+
+
+@pytest.mark.parametrize("size,k", [(1, 1), (2, 2), (1, 40)])
+def test_greedy_matching_whatever_the_lists(spark, size, k):
+    """Chunks that compete for the same few tracks, against a plain greedy loop."""
+    import numpy as np
+    from moodloom.operators.knn import Index
+
+    rng = np.random.default_rng(size)
+    cat = np.round(rng.normal(size=(60, 2)), 2)
+    asks = np.round(rng.normal(size=(25, 2)) * 0.2, 2)
+    cluster = rng.integers(0, 2, 25)
+    inside = {(0, 3), (0, 4), (1, 5)}
+    catalog = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cat)], "track_id bigint, vec array<double>")
+    asked = spark.createDataFrame(
+        [("p", int(c), i, v.tolist()) for i, (c, v) in enumerate(zip(cluster, asks))],
+        "playlist_id string, cluster_id int, chunk bigint, vec array<double>",
+    )
+    members = spark.createDataFrame([("p", c, t) for c, t in inside], "playlist_id string, cluster_id int, track_id bigint")
+    got = recommend.serve(asked, members, Index(catalog, fine=8), size, k).collect()
+    pairs = sorted(
+        (round(float(np.sqrt(((asks[i] - cat[t]) ** 2).sum())), 9), i, t)
+        for i in range(25) for t in range(60) if (int(cluster[i]), t) not in inside
+    )
+    room, taken, want = [size] * 25, set(), set()
+    for _, i, t in pairs:
+        if room[i] and (cluster[i], t) not in taken:
+            room[i] -= 1
+            taken.add((cluster[i], t))
+            want.add((i, t))
+    assert {(r.chunk, r.track_id) for r in got} == want and len(got) == len(want)
+
+
+def test_small_catalog_runs_out(spark):
+    from moodloom.operators.knn import Index
+
+    catalog = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "track_id bigint, vec array<double>")
+    asked = spark.createDataFrame([("p", 0, i, [0.0]) for i in range(9)], "playlist_id string, cluster_id int, chunk bigint, vec array<double>")
+    members = spark.createDataFrame([("p", 0, 1)], "playlist_id string, cluster_id int, track_id bigint")
+    got = recommend.serve(asked, members, Index(catalog), k=1).collect()
+    assert {(r.chunk, r.track_id) for r in got} == {(0, 0), (1, 2)}
 
 
 def test_seeds_are_no_anomalies(s):
