@@ -68,7 +68,7 @@ _K4 = _lloyd_sql(_PTS, "[4]")
     sql(f"SELECT playlist_id, track_id, cid AS cluster_id FROM a{ROUNDS}", _K4),
 )
 def k1(s):
-    labelled, _ = kmeans.search(_vectors(s), 4, 4, restarts=1, max_iter=ROUNDS, tol=0.0)
+    labelled, _ = kmeans.search(_vectors(s), 4, 4, restarts=1, max_iter=ROUNDS, tol=0.0, init="hash")
     return labelled.select("playlist_id", "track_id", F.col("labels")[0]["cluster_id"].alias("cluster_id"))
 
 
@@ -82,7 +82,7 @@ def _vectors(s):
 )
 def k1b(s):
     lib = tables.vector_library(s.spark, s.sf_dir).drop("cluster_id")
-    labelled, _ = kmeans.search(lib, 10, 10, restarts=1, max_iter=ROUNDS, tol=0.0)
+    labelled, _ = kmeans.search(lib, 10, 10, restarts=1, max_iter=ROUNDS, tol=0.0, init="hash")
     return labelled.select("track_id", F.col("labels")[0]["cluster_id"].alias("cluster_id"))
 
 
@@ -91,19 +91,20 @@ _BEST = """SELECT playlist_id, k FROM score QUALIFY row_number() OVER (PARTITION
 
 
 def _searched(s):
-    return kmeans.search(_vectors(s), restarts=1, max_iter=ROUNDS, tol=0.0)
+    blocks, best, cand = kmeans.fit(_vectors(s), restarts=1, max_iter=ROUNDS, tol=0.0, init="hash")
+    return kmeans.block_silhouette(blocks, best), cand
 
 
 @query("K2_silhouette_by_k", sql("SELECT playlist_id, CAST(k AS INT) AS k, round(score, 6) AS score FROM score", _SEARCH))
 def k2(s):
-    labelled, cand = _searched(s)
-    return kmeans.silhouette(labelled, cand).select("playlist_id", "k", r6("score").alias("score"))
+    scores, _ = _searched(s)
+    return scores.select("playlist_id", "k", r6("score").alias("score"))
 
 
 @query("K2_chosen_k", sql("SELECT playlist_id, CAST(k AS INT) AS k FROM best", {**_SEARCH, "best": _BEST}))
 def k2b(s):
-    labelled, cand = _searched(s)
-    return kmeans.choose_k(cand, kmeans.silhouette(labelled, cand))
+    scores, cand = _searched(s)
+    return kmeans.choose_k(cand, scores)
 
 
 _GIVEN = "SELECT playlist_id, 9 AS k, track_id, cluster_id AS cid FROM assign"
@@ -172,7 +173,7 @@ _END = {
 
 
 def learned(s):
-    return analyze(s.playlists, s.items, s.source_tracks, restarts=1, max_iter=ROUNDS, tol=0.0)
+    return analyze(s.playlists, s.items, s.source_tracks, restarts=1, max_iter=ROUNDS, tol=0.0, init="hash")
 
 
 @query(

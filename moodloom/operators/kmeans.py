@@ -23,6 +23,8 @@ from moodloom.session import cut, cut_in_place, settle
 BLOCK_ROWS = 1024
 #: Rows of a playlist on either side of one block of distances.
 PAIR_ROWS = 2048
+#: Rounds of distance-weighted draws that make the start centres.
+OVERSAMPLING_ROUNDS = 3
 
 
 def pack(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -119,6 +121,146 @@ def seeds(
     )
 
 
+def parallel_seeds(
+    blocks: DataFrame,
+    cand: DataFrame,
+    restarts: int,
+    k_max: int = 8,
+    seed: int = 42,
+    rounds: int = OVERSAMPLING_ROUNDS,
+) -> DataFrame:
+    """Start centres by distance-weighted oversampling (k-means||), in the form of ``seeds``.
+
+    Each round draws ``2 * k_max`` further rows of every playlist and restart, without
+    replacement and in proportion to the squared distance to the centres drawn before: a
+    row's key is ``-ln(u) / distance`` with u from a hash of its track, and the smallest
+    keys win, so blocks send only their own few smallest and no total is needed first.
+    Then every drawn row gets the number of rows nearest to it, and weighted k-means++
+    (best of a few draws a step) picks the centres from this small sample, one bounded
+    row a playlist. Of one restart, k centres are the first k of its picks.
+    """
+    pid = blocks.schema["playlist_id"].dataType
+    keyed = blocks.withColumn("keys", F.transform("rows", lambda r: F.xxhash64(F.lit(seed), r["track_id"])))
+    size = blocks.groupBy("playlist_id").agg(F.first("blocks").alias("blocks"))
+    none = F.array().cast("array<struct<restart: int, center: array<double>>>")
+    state = cut(size.withColumn("cents", none))
+
+    def by_restart(cents, x):
+        """Squared distances of all rows to the centres of each restart so far."""
+        if not len(cents):
+            return [None] * restarts
+        turn = cents.field("restart").to_numpy(zero_copy_only=False)
+        d2 = _squared(x, cents.field("center").flatten().to_numpy(zero_copy_only=False).reshape(len(cents), -1))
+        return [d2[:, turn == r] for r in range(restarts)]
+
+    def draw(turn: int, wanted: int):
+        def sample(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    part, x = _matrix(b.column("rows"), i)
+                    keys = b.column("keys")[i].values.to_numpy(zero_copy_only=False).astype(np.uint64)
+                    for r, d2 in enumerate(by_restart(b.column("cents")[i].values, x)):
+                        u = (_scrambled(keys, turn, r) >> np.uint64(11)).astype(float) + 0.5
+                        far = np.ones(len(x)) if d2 is None else d2.min(1)
+                        with np.errstate(divide="ignore"):
+                            key = np.where(far > 0, -np.log(u / 2.0**53) / far, np.inf)
+                        best = np.argsort(key, kind="stable")[:wanted]
+                        best = best[np.isfinite(key[best])]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([b.column("playlist_id")[i].as_py()] * len(best), to_arrow_type(pid)),
+                                pa.array(np.full(len(best), r, np.int32)),
+                                pa.array(key[best]),
+                                part.field("vec").take(pa.array(best)),
+                            ],
+                            names=["playlist_id", "restart", "key", "center"],
+                        )
+
+        return sample
+
+    for turn in range(rounds + 1):
+        wanted = 2 * k_max if turn else 1
+        drawn = _on_blocks(keyed, state, "keys").mapInArrow(
+            draw(turn, wanted), f"playlist_id {pid.simpleString()}, restart int, key double, center array<double>"
+        )
+        # Equal vectors drawn in one round are one centre.
+        new = top_in_group(drawn, ["playlist_id", "restart"], [F.asc("key"), F.asc("center")], wanted)
+        new = new.groupBy("playlist_id").agg(F.array_distinct(F.collect_list(F.struct("restart", "center"))).alias("new"))
+        state = cut(
+            state.join(new, "playlist_id", "left").select(
+                "playlist_id", "blocks", F.array_sort(F.concat("cents", F.coalesce("new", none))).alias("cents")
+            )
+        )
+
+    def weigh(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                _, x = _matrix(b.column("rows"), i)
+                cents = b.column("cents")[i].values
+                near = [np.bincount(d2.argmin(1), minlength=d2.shape[1]) for d2 in by_restart(cents, x)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b.column("playlist_id")[i].as_py()] * len(cents), to_arrow_type(pid)),
+                        pa.array(np.arange(len(cents), dtype=np.int32)),
+                        pa.array(np.concatenate(near).astype(np.int64)),
+                    ],
+                    names=["playlist_id", "place", "rows"],
+                )
+
+    kind = f"playlist_id {pid.simpleString()}, place int, rows bigint"
+    weights = _on_blocks(blocks, state).mapInArrow(weigh, kind).groupBy("playlist_id", "place").agg(F.sum("rows").alias("w"))
+    weights = weights.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("weights"))
+
+    def pick(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                cents = b.column("cents")[i].values
+                turn = cents.field("restart").to_numpy(zero_copy_only=False)
+                x = cents.field("center").flatten().to_numpy(zero_copy_only=False).reshape(len(cents), -1)
+                w = b.column("weights")[i].values.field("w").to_numpy(zero_copy_only=False).astype(float)
+                for r in range(restarts):
+                    mine = np.flatnonzero(turn == r)
+                    best = _plus_plus(x[mine], w[mine], k_max, np.random.default_rng([seed, r]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([b.column("playlist_id")[i].as_py()] * len(best), to_arrow_type(pid)),
+                            pa.array(np.full(len(best), r, np.int32)),
+                            pa.array(np.arange(len(best), dtype=np.int32)),
+                            cents.field("center").take(pa.array(mine[best])),
+                        ],
+                        names=["playlist_id", "restart", "cid", "center"],
+                    )
+
+    picked = state.join(weights, "playlist_id").mapInArrow(
+        pick, f"playlist_id {pid.simpleString()}, restart int, cid int, center array<double>"
+    )
+    return cand.join(picked, "playlist_id").filter(F.col("cid") < F.col("k")).select(
+        "playlist_id", "k", "restart", "cid", "center", "blocks"
+    )
+
+
+def _scrambled(keys: np.ndarray, *parts: int) -> np.ndarray:
+    """Hashes made anew for each round and restart."""
+    for p in (*parts, 1):
+        keys = (keys ^ np.uint64(p + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        keys = keys ^ (keys >> np.uint64(29))
+    return keys
+
+
+def _plus_plus(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """Places of k rows by weighted k-means++; of a few draws a step, the best."""
+    tries = 2 + int(np.log(k))
+    picks = [int(rng.choice(len(x), p=w / w.sum()))] if w.sum() else []
+    far = _squared(x, x[picks]).min(1) if picks else np.zeros(len(x))
+    while len(picks) < k and (w * far).sum() > 0:
+        draws = rng.choice(len(x), tries, p=w * far / (w * far).sum())
+        after = np.minimum(far[:, None], _squared(x, x[draws]))
+        best = int((w @ after).argmin())
+        picks.append(int(draws[best]))
+        far = after[:, best]
+    return picks
+
+
 def gather(centers: DataFrame) -> DataFrame:
     """State of the search: one row per playlist with all its centres, at most
     restarts x (3 + ... + 8) vectors."""
@@ -128,7 +270,7 @@ def gather(centers: DataFrame) -> DataFrame:
     )
 
 
-def _on_blocks(blocks: DataFrame, state: DataFrame) -> DataFrame:
+def _on_blocks(blocks: DataFrame, state: DataFrame, *more: str) -> DataFrame:
     """Each block with the centres of its playlist. The centres travel to the
     blocks; the blocks stay where they are."""
     spread = state.select(
@@ -137,7 +279,7 @@ def _on_blocks(blocks: DataFrame, state: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
     )
     joined = blocks.join(spread.hint("shuffle_hash"), ["playlist_id", "block"])
-    return joined.select("playlist_id", "block", "rows", "cents")
+    return joined.select("playlist_id", "block", "rows", "cents", *more)
 
 
 def _matrix(values, row: int):
@@ -497,6 +639,110 @@ def choose_k(cand: DataFrame, scores: DataFrame) -> DataFrame:
     return best.select("playlist_id", (-F.col("b.neg")).alias("k"))
 
 
+def block_silhouette(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """(playlist_id, k, score): ``silhouette_moments`` of the clusters around the centres
+    of ``state`` (one set for each k), without moving a vector.
+
+    Blocks send the moments of their members, get those of the whole playlist back, and
+    send one sum of scores for each k.
+    """
+    pid = blocks.schema["playlist_id"].dataType
+    moments = _moments(blocks, state, pid)
+
+    def sums(batches):
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                _, x = _matrix(b.column("rows"), i)
+                held = b.column("cents")[i].values
+                k, size, msq = (held.field(c).to_numpy(zero_copy_only=False) for c in ("k", "size", "msq"))
+                at = lambda c: held.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+                near = _squared(x, at("center"))
+                mean = at("mean")
+                far = np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ mean.T) + msq[None, :], 0.0)
+                for one in np.unique(k):
+                    cols = np.flatnonzero(k == one)
+                    own = near[:, cols].argmin(1)
+                    full = size[cols] > 0  # an empty cluster has no distance
+                    if full.sum() < 2:
+                        continue
+                    d = np.where(full[None, :], far[:, cols], np.inf)
+                    n, rows = size[cols][own], np.arange(len(x))
+                    a = d[rows, own] * n / np.maximum(n - 1, 1)
+                    d[rows, own] = np.inf
+                    b_ = d.min(1)
+                    top = np.maximum(a, b_)
+                    s = np.where((n == 1) | (top <= 0), 0.0, (b_ - a) / np.where(top > 0, top, 1.0))
+                    out.append((b.column("playlist_id")[i].as_py(), int(one), float(s.sum()), len(x)))
+            cols = list(zip(*out)) or [[], [], [], []]
+            kinds = [to_arrow_type(pid), pa.int32(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds)], names=["playlist_id", "k", "total", "rows"]
+            )
+
+    return (
+        _on_blocks(blocks, moments)
+        .mapInArrow(sums, f"playlist_id {pid.simpleString()}, k int, total double, rows bigint")
+        .groupBy("playlist_id", "k")
+        .agg((F.sum("total") / F.sum("rows")).alias("score"))
+    )
+
+
+def _moments(blocks: DataFrame, state: DataFrame, pid) -> DataFrame:
+    """``state`` with size, mean and mean square of the members of every centre."""
+
+    def partial(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                _, x = _matrix(b.column("rows"), i)
+                held, c = _matrix(b.column("cents"), i)
+                near, sq = _squared(x, c), (x * x).sum(1)
+                size, mean, msq = [], [], []
+                for _, _, lo, hi in _sets(held):
+                    one = (near[:, lo:hi].argmin(1)[:, None] == np.arange(hi - lo)[None, :]).astype(float)
+                    size.append(one.sum(0))
+                    full = np.maximum(size[-1], 1)
+                    mean.append((one.T @ x) / full[:, None])
+                    msq.append((one.T @ sq) / full)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b.column("playlist_id")[i].as_py()] * len(c), to_arrow_type(pid)),
+                        held.field("k").cast(pa.int32()),
+                        held.field("cid").cast(pa.int32()),
+                        pa.array(np.concatenate(size)),
+                        pa.array([v for m in mean for v in m], pa.list_(pa.float64())),
+                        pa.array(np.concatenate(msq)),
+                    ],
+                    names=["playlist_id", "k", "cid", "cnt", "part", "msq"],
+                )
+
+    parts = _on_blocks(blocks, state).mapInArrow(
+        partial,
+        f"playlist_id {pid.simpleString()}, k int, cid int, cnt double, part array<double>, msq double",
+    )
+    keys = ["playlist_id", "k", "cid"]
+    means = mean_vectors(
+        parts,
+        keys,
+        "part",
+        "mean",
+        F.greatest(F.col("cnt"), F.lit(1e-300)),
+        F.sum("cnt").alias("size"),
+        F.coalesce(F.sum(F.col("msq") * F.col("cnt")) / F.nullif(F.sum("cnt"), F.lit(0.0)), F.lit(0.0)).alias("msq"),
+    )
+    flat = state.select("playlist_id", "blocks", F.explode("cents").alias("c")).select(
+        "playlist_id", "blocks", "c.k", "c.cid", "c.center"
+    )
+    return (
+        flat.join(means, keys)
+        .groupBy("playlist_id")
+        .agg(
+            F.first("blocks").alias("blocks"),
+            F.array_sort(F.collect_list(F.struct("k", "cid", "center", "mean", "size", "msq"))).alias("cents"),
+        )
+    )
+
+
 def cluster(
     vectors: DataFrame,
     k_min: int = 3,
@@ -506,19 +752,39 @@ def cluster(
     tol: float = 1e-4,
     metric: str = "squared",
     seed: int = 42,
+    init: str = "parallel",
 ) -> DataFrame:
     """(playlist_id, track_id, pos, vec, cluster_id): the whole search."""
-    labelled, cand = search(vectors, k_min, k_max, restarts, max_iter, tol, seed)
-    chosen = choose_k(cand, silhouette(labelled, cand, metric))
-    picked = labelled.join(chosen, "playlist_id")
-    mine = F.filter("labels", lambda x: x["k"] == F.col("k"))[0]["cluster_id"]
-    return picked.select("playlist_id", "track_id", "pos", "vec", mine.alias("cluster_id"))
+    blocks, best, cand = fit(vectors, k_min, k_max, restarts, max_iter, tol, seed, init)
+    if metric == "euclidean":
+        scores = silhouette(settle(label(blocks, best, keep_vec=True)), cand, metric)
+    else:
+        scores = block_silhouette(blocks, best)
+    chosen = choose_k(cand, scores).select("playlist_id", F.col("k").alias("chosen"))
+    only = best.join(chosen, "playlist_id").select(
+        "playlist_id", "blocks", F.filter("cents", lambda c: c["k"] == F.col("chosen")).alias("cents")
+    )
+    picked = label(blocks, only, keep_vec=True)
+    return picked.select("playlist_id", "track_id", "pos", "vec", F.col("labels")[0]["cluster_id"].alias("cluster_id"))
 
 
-def search(vectors, k_min=3, k_max=8, restarts=3, max_iter=20, tol=1e-4, seed=42):
-    """(labelled, candidates): every track with its cluster for every k."""
+def fit(vectors, k_min=3, k_max=8, restarts=3, max_iter=20, tol=1e-4, seed=42, init="parallel"):
+    """(blocks, best, candidates): the best centres of every playlist for every k.
+
+    ``init`` is ``parallel`` (k-means||) or ``hash`` (the tracks with the smallest keys,
+    a start that other engines can repeat).
+    """
+    if init not in ("parallel", "hash"):
+        raise ValueError(f"init {init!r}")
     blocks = pack(vectors)
     cand = candidates(blocks, k_min, k_max)
-    start = cut(gather(seeds(blocks, cand, restarts, max(k_max, 2), seed)))
+    first = {"parallel": parallel_seeds, "hash": seeds}[init]
+    start = cut(gather(first(blocks, cand, restarts, max(k_max, 2), seed)))
     state = lloyd(blocks, start, start.select("playlist_id", "blocks"), max_iter, tol)
-    return settle(label(blocks, best_restart(state), keep_vec=True)), cand
+    return blocks, cut(best_restart(state)), cand
+
+
+def search(vectors, k_min=3, k_max=8, restarts=3, max_iter=20, tol=1e-4, seed=42, init="parallel"):
+    """(labelled, candidates): every track with its cluster for every k."""
+    blocks, best, cand = fit(vectors, k_min, k_max, restarts, max_iter, tol, seed, init)
+    return settle(label(blocks, best, keep_vec=True)), cand

@@ -50,6 +50,60 @@ def test_many_blocks_give_the_same_as_one(spark, monkeypatch):
     assert one == many
 
 
+def plain_kmeans(x, k, rng, rounds=10):
+    """Inertia after plain k-means++ and Lloyd rounds."""
+    c = [x[rng.integers(len(x))]]
+    while len(c) < k:
+        d = ((x[:, None] - np.array(c)[None]) ** 2).sum(2).min(1)
+        c.append(x[rng.choice(len(x), p=d / d.sum())])
+    c = np.array(c)
+    for _ in range(rounds):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+    return ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_oversampled_seeds_are_as_good_as_plain_ones(spark, monkeypatch):
+    """k-means|| from many blocks: no worse than plain k-means++, and the same in every run."""
+    monkeypatch.setattr(kmeans.pack, "__defaults__", (64,))
+    rng = np.random.default_rng(21)
+    sizes = [400, 200, 100, 60, 30, 20, 10, 5]  # small far groups are what random starts miss
+    data = {
+        name: np.concatenate([rng.normal(size=5) * 20 + rng.normal(size=(n, 5)) for n in sizes]) for name in ("p", "q")
+    }
+    v = points(spark, data)
+
+    def run(init):
+        _, best, _ = kmeans.fit(v, 8, 8, restarts=2, max_iter=10, init=init)
+        return {r.playlist_id: np.array([c.center for c in r.cents]) for r in best.collect()}
+
+    got, again, hashed = run("parallel"), run("parallel"), run("hash")
+    inertia = lambda x, c: ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    for name, x in data.items():
+        assert np.array_equal(got[name], again[name]) and len(got[name]) == 8
+        plain = np.mean([plain_kmeans(x, 8, np.random.default_rng(i)) for i in range(12)])
+        assert inertia(x, got[name]) <= plain and inertia(x, got[name]) <= inertia(x, hashed[name]) * 1.001
+
+
+def test_drawn_rows_follow_the_distance(spark):
+    """Every far group is drawn from; copies of a vector are one centre."""
+    x = np.concatenate([np.zeros((500, 2)), [[10.0, 0]] * 3, [[0, 10.0]] * 3, [[-10.0, -10.0]]])
+    blocks = kmeans.pack(points(spark, {"p": x}))
+    cand = kmeans.candidates(blocks, 4, 8)
+    got = kmeans.parallel_seeds(blocks, cand, 3).where("k = 8").collect()
+    for turn in range(3):
+        assert {tuple(r.center) for r in got if r.restart == turn} == {(0.0, 0.0), (10.0, 0.0), (0.0, 10.0), (-10.0, -10.0)}
+
+
+def test_block_silhouette_is_the_silhouette_of_its_labels(spark, monkeypatch):
+    monkeypatch.setattr(kmeans.pack, "__defaults__", (16,))
+    v = points(spark, {"p": blobs(7, 3, 40, spread=1.5), "q": blobs(8, 5, 20, spread=1.0), "r": np.eye(2)})
+    blocks, best, cand = kmeans.fit(v, 3, 6, restarts=1, max_iter=5)
+    labelled = kmeans.label(blocks, best, keep_vec=True)
+    rows = {(r.playlist_id, r.k): r.score for r in kmeans.silhouette(labelled, cand).collect()}
+    assert {(r.playlist_id, r.k): pytest.approx(r.score) for r in kmeans.block_silhouette(blocks, best).collect()} == rows
+
+
 def brute_silhouette(x, labels, power=1):
     d = np.linalg.norm(x[:, None] - x[None], axis=2) ** power
     out = []
