@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moodloom.checks.ctes import with_ctes as sql
 from moodloom.checks.registry import query, r6
-from moodloom.operators import analysis, features, kmeans, models
+from moodloom.operators import analysis, features, kmeans, mixture, models
 from moodloom.plans.pipeline import analyze
 from moodloom.schema import FEATURES
 from moodloom.sources import tables
@@ -151,18 +151,85 @@ def k3c(s):
     return kmeans.silhouette_moments(points).select(r6("score").alias("score"))
 
 
-@query("K4_gaussian_mixture")
-def k4(s):
-    """Sizes of the mixture with the lowest BIC over all tracks."""
+def _mixture(s):
+    """The mixture with the lowest BIC over all tracks, all k from the same rounds."""
     audio = features.audio_columns(s.source_tracks).withColumn("playlist_id", F.lit("catalog"))
     scaled = features.robust_scale(audio)
-    _, sizes, bics = models.gaussian_mixture(scaled, list(FEATURES), restarts=1, max_iter=20)
-    table = s.spark.createDataFrame([(k, float(v)) for k, v in bics.items()], "k int, bic double")
+    return mixture.gaussian_mixture(scaled, list(FEATURES), restarts=3, max_iter=40)
+
+
+@query("K4_gaussian_mixture")
+def k4(s):
+    """Sizes of the chosen mixture and the BIC of every k."""
+    _, sizes, found = _mixture(s)
+    n = sizes.agg(F.sum("size")).first()[0]
+    table = s.spark.createDataFrame([(k, m.bic(n)) for k, m in found.items()], "k int, bic double")
     return sizes.select(F.lit("size").alias("fact"), F.col("prediction").alias("k"), F.col("size").cast("double").alias("value")).unionByName(
         table.select(F.lit("bic").alias("fact"), "k", F.col("bic").alias("value"))
     )
 
 
+def _swept(name: str, source: str, keys: str, d: int) -> dict[str, str]:
+    """CTEs that sweep every pivot of the symmetric matrix a0_0..a8_8 (upper triangle) in
+    ``source``: afterwards the entries are those of minus the inverse, ``logdet`` is the
+    log of the determinant."""
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    at = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    out = {f"{name}0": f"SELECT {keys}, 0e0 AS logdet, {', '.join(at(i, j) for i, j in upper)} FROM {source}"}
+    for k in range(d):
+        p = at(k, k)
+        entry = []
+        for i, j in upper:
+            if i == k and j == k:
+                e = f"-1 / {p}"
+            elif k in (i, j):
+                e = f"{at(i, j)} / {p}"
+            else:
+                e = f"{at(i, j)} - {at(i, k)} * {at(j, k)} / {p}"
+            entry.append(f"{e} AS {at(i, j)}")
+        out[f"{name}{k + 1}"] = f"SELECT {keys}, logdet + ln({p}) AS logdet, {', '.join(entry)} FROM {name}{k}"
+    return out
+
+
+_D = len(FEATURES)
+_UPPER = [(i, j) for i in range(_D) for j in range(i, _D)]
+_ROBUST = {
+    # Median and quartiles of each feature over the tracks with all features.
+    "rr": f"SELECT track_id, {', '.join(FEATURES)} FROM tracks WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}",
+    "rq": "SELECT "
+    + ", ".join(
+        f"quantile_cont({f}, 5e-1) AS m{i}, quantile_cont({f}, 75e-2) - quantile_cont({f}, 25e-2) AS s{i}" for i, f in enumerate(FEATURES)
+    )
+    + " FROM rr",
+    "rx": "SELECT track_id, "
+    + ", ".join(f"CASE WHEN s{i} = 0 THEN 0e0 ELSE ({f} - m{i}) / s{i} END AS z{i}" for i, f in enumerate(FEATURES))
+    + " FROM rr, rq",
+    "rc": "SELECT count(*) AS n, "
+    + ", ".join(f"covar_pop(z{i}, z{j}){' + 1e-4' if i == j else ''} AS a{i}_{j}" for i, j in _UPPER)
+    + " FROM rx",
+    **_swept("rw", "rc", "n", _D),
+}
+
+
+@query(
+    "K4_single_gaussian",
+    sql(
+        f"""SELECT n, round(({_D} + {_D * (_D + 1) // 2}) * ln(n)
+          + n * ({_D} * ln(2 * pi()) + logdet + {_D} + 1e-4 * ({' + '.join(f'a{i}_{i}' for i in range(_D))})), 4) AS bic,
+          true AS never_falls FROM rw{_D}""",
+        _ROBUST,
+    ),
+)
+def k4b(s):
+    """Rows of all clusters together, BIC of one component, and whether any mixture lost likelihood."""
+    _, sizes, found = _mixture(s)
+    never = all(b >= a - 1e-6 * abs(a) for m in found.values() for a, b in zip(m.steps, m.steps[1:]))
+    n = sizes.agg(F.sum("size")).first()[0]
+    return sizes.agg(F.sum("size").alias("n")).select(
+        "n", F.round(F.lit(found[1].bic(n)), 4).alias("bic"), F.lit(never).alias("never_falls")
+    )
+
+
 _END = {
     **_SEARCH,
     "best": _BEST,
@@ -191,14 +258,82 @@ def whole(s):
 CHI2_9_99 = 21.666
 
 
-@query("D9_mahalanobis")
+_SHRUNK = {
+    "mr": f"SELECT playlist_id, track_id, {', '.join(FEATURES)} FROM lib WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}",
+    "mm": "SELECT playlist_id, count(*) AS n, "
+    + ", ".join(f"avg({f}) AS m{i}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s{i}" for i, f in enumerate(FEATURES))
+    + " FROM mr GROUP BY playlist_id",
+    "mz": "SELECT playlist_id, track_id, n, " + ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(FEATURES)) + " FROM mr JOIN mm USING (playlist_id)",
+    "mc": "SELECT playlist_id, any_value(n) AS n, "
+    + ", ".join(f"avg(z{i} * z{j}) AS a{i}_{j}" for i, j in _UPPER)
+    + f", avg(({' + '.join(f'z{i} * z{i}' for i in range(_D))}) ** 2) AS fourth FROM mz GROUP BY playlist_id",
+    "md": f"""SELECT *, ({' + '.join(f'a{i}_{i}' for i in range(_D))}) / {_D} AS m,
+      {' + '.join(f'{1 if i == j else 2} * a{i}_{j} * a{i}_{j}' for i, j in _UPPER)} AS squares FROM mc""",
+    "ms": f"""SELECT *, CASE WHEN squares / {_D} - m * m > 0
+      THEN least(greatest((fourth - squares) / (n * {_D}), 0) / (squares / {_D} - m * m), 1) ELSE 0 END AS shrinkage FROM md""",
+    "mt": "SELECT playlist_id, "
+    + ", ".join(f"(1 - shrinkage) * a{i}_{j}{' + shrinkage * m' if i == j else ''} AS a{i}_{j}" for i, j in _UPPER)
+    + " FROM ms",
+    **_swept("mw", "mt", "playlist_id", _D),
+}
+
+
+@query("D9_shrinkage", sql("SELECT playlist_id, n, round(shrinkage, 6) AS shrinkage FROM ms", _SHRUNK))
+def d9b(s):
+    found = models.shrunk_covariances(s.library, list(FEATURES))
+    return found.select("playlist_id", "n", r6("shrinkage").alias("shrinkage"))
+
+
+@query(
+    "D9_mahalanobis",
+    sql(
+        f"""SELECT playlist_id, track_id, round(sqrt(q), 6) AS score, q > {CHI2_9_99} AS flagged FROM (
+          SELECT playlist_id, track_id, {' + '.join(f'{-1 if i == j else -2} * a{i}_{j} * z{i} * z{j}' for i, j in _UPPER)} AS q
+          FROM mz JOIN mw{_D} USING (playlist_id))""",
+        _SHRUNK,
+    ),
+)
 def d9(s):
-    return models.mahalanobis(s.library, list(FEATURES), CHI2_9_99)
+    return models.mahalanobis(s.library, list(FEATURES), CHI2_9_99).withColumn("score", r6("score"))
+
+
+_UNIT = "list_transform(v, lambda c: c / sqrt(list_dot_product(v, v)) * sign(list_extract(v, list_position(list_transform(v, lambda a: abs(a)), list_max(list_transform(v, lambda a: abs(a)))))))"
 
 
-@query("D10_projection")
+def _first_axis(name: str, matrix: str) -> dict[str, str]:
+    """CTEs of the first eigenvector of a symmetric matrix ``m`` (list of rows), by repeated squaring."""
+    return {
+        f"{name}p": f"""SELECT 0 AS i, m FROM {matrix} UNION ALL
+          SELECT i + 1, list_transform(q, lambda r: list_transform(r, lambda c: c / list_max(list_transform(q, lambda w: list_max(list_transform(w, lambda b: abs(b)))))))
+          FROM (SELECT i, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS q FROM {name}p WHERE i < 30)""",
+        f"{name}v": f"SELECT {_UNIT} AS v FROM (SELECT list_extract(m, 1) AS v FROM {name}p WHERE i = 30)",
+    }
+
+
+_PCA = {
+    "pr": f"SELECT track_id, {', '.join(FEATURES)} FROM tracks WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}",
+    "pz": f"SELECT track_id, [{', '.join(f'({f} - m{i}) / s{i}' for i, f in enumerate(FEATURES))}] AS z FROM pr, (SELECT "
+    + ", ".join(f"avg({f}) AS m{i}, stddev_samp({f}) AS s{i}" for i, f in enumerate(FEATURES))
+    + " FROM pr)",
+    "pm": "SELECT [" + ", ".join("[" + ", ".join(f"avg(z[{i + 1}] * z[{j + 1}])" for j in range(_D)) + "]" for i in range(_D)) + "] AS m FROM pz",
+    **_first_axis("pa", "pm"),
+    # The matrix without its first axis.
+    "pn": """SELECT list_transform(m, lambda r, i: list_transform(r, lambda c, j: c - e * v[i] * v[j])) AS m FROM (
+      SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS e FROM pm, pav)""",
+    **_first_axis("pb", "pn"),
+}
+
+
+@query(
+    "D10_projection",
+    sql(
+        """SELECT track_id, round(list_dot_product(z, pav.v), 6) AS x, round(list_dot_product(z, pbv.v), 6) AS y FROM pz, pav, pbv""",
+        _PCA,
+    ),
+)
 def d10(s):
-    return models.project(features.audio_columns(s.source_tracks), list(FEATURES))
+    found = models.project(features.audio_columns(s.source_tracks), list(FEATURES))
+    return found.select("track_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
 _REMOVED = {

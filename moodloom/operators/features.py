@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodloom.functions.columns import norm, number, tag_weight, tokens, unit
-from moodloom.operators.grouping import rank_in_group, top_in_group
+from moodloom.operators.grouping import top_in_group
 from moodloom.schema import FEATURES
+from moodloom.session import settle
+
+QUARTILES = (0.25, 0.5, 0.75)
+#: Values of a group that are sorted at once; bins of a longer one.
+SMALL, BINS = 4096, 256
 
 
 def audio_columns(tracks: DataFrame) -> DataFrame:
@@ -162,19 +167,18 @@ def robust_scale(rows: DataFrame, features=FEATURES) -> DataFrame:
     """(x - median) / IQR per playlist over rows without any null; a feature
     with IQR 0 becomes 0.
 
-    Quartiles are exact with linear interpolation. They come from ranks over
-    range-partitioned rows, not from the ``percentile`` aggregate, whose
-    buffer holds all distinct values of a playlist.
+    Quartiles are exact with linear interpolation. They come from counts of bins, not
+    from the ``percentile`` aggregate, whose buffer holds all distinct values of a
+    playlist.
     """
     clean = rows.select("playlist_id", "track_id", *[number(F.col(f)).alias(f) for f in features])
-    clean = clean.na.drop(subset=list(features))
+    clean = settle(clean.na.drop(subset=list(features)))
     long = clean.select(
         "playlist_id",
-        "track_id",
         F.explode(
             F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
         ).alias("v"),
-    ).select("playlist_id", "track_id", "v.*")
+    ).select("playlist_id", "v.*")
     q = quartiles(long, ["playlist_id", "feature"]).groupBy("playlist_id").agg(
         *[
             F.max(F.when(F.col("feature") == f, F.array("q1", "q2", "q3"))).alias(f"{f}_q")
@@ -192,25 +196,72 @@ def robust_scale(rows: DataFrame, features=FEATURES) -> DataFrame:
 
 
 def quartiles(long: DataFrame, group: list[str]) -> DataFrame:
-    """Exact quartiles of ``x`` per group, interpolated between two ranks."""
-    ranked = rank_in_group(long, group, [F.col("x"), F.col("track_id")])
-    size = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
-    at = ranked.join(size, group)
-
-    def point(q):
-        spot = (F.col("m") - 1) * F.lit(q)
-        low = F.floor(spot)
-        share = spot - low
-        part = F.when(F.col("rn") == low + 1, (1 - share) * F.col("x")).when(
-            F.col("rn") == low + 2, share * F.col("x")
+    """Exact quartiles of ``x`` per group, interpolated between two ranks, without a sort
+    of the rows.
+
+    The wanted ranks of a group are six at most. A group of more than ``SMALL`` rows is
+    cut into ``BINS`` bins between its ends, the counts say which bins hold those ranks,
+    and only these are cut again, until every one is small or holds one value. Counts
+    combine before the shuffle. What is left, at most six times ``SMALL`` values a group,
+    is collected and sorted; a group that is small from the start is one such bin.
+    """
+    rows = long.select(*group, F.col("x").cast("double").alias("x"))
+    size = rows.groupBy(*group).agg(F.count("x").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    todo = settle(size.where("m > 0").select(*group, "m", "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.col("m").alias("n")))
+    large = (F.col("n") > SMALL) & (F.col("lo") / BINS < F.col("hi") / BINS)
+    picks = None
+    while True:
+        ready = todo.where(~large)
+        picks = ready if picks is None else picks.union(ready)
+        cut = todo.where(large)
+        if cut.isEmpty():
+            break
+        # Halves of the range never overflow.
+        share = (F.col("x") / BINS - F.col("lo") / BINS) / (F.col("hi") / BINS - F.col("lo") / BINS)
+        bins = (
+            rows.join(cut, group)
+            .where("x >= lo AND x <= hi")
+            .withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+            .groupBy(*group, "m", "lo", "before", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         )
-        return F.sum(part)
+        earlier = Window.partitionBy(*group, "lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        held = [(r > F.col("before")) & (r <= F.col("before") + F.col("n")) for q in QUARTILES for r, _ in _ranks(q)]
+        wanted = held[0]
+        for h in held[1:]:
+            wanted = wanted | h
+        todo = settle(bins.where(wanted).select(*group, "m", F.col("low").alias("lo"), F.col("high").alias("hi"), "before", "n"))
+    keys = [*group, "m", "lo", "hi", "before", "n"]
+    sorted_bins = (
+        rows.join(picks.where("lo < hi"), group)
+        .where("x >= lo AND x <= hi")
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    )
+    # A bin of one value needs no values.
+    constant = picks.where("lo >= hi").withColumn("xs", F.lit(None).cast("array<double>"))
 
-    return at.groupBy(*group).agg(
-        point(0.25).alias("q1"), point(0.5).alias("q2"), point(0.75).alias("q3")
+    def point(q):
+        parts = []
+        for rank, weight in _ranks(q):
+            value = F.coalesce(F.get("xs", (rank - F.col("before") - 1).cast("int")), F.col("lo"))
+            inside = (rank > F.col("before")) & (rank <= F.col("before") + F.col("n"))
+            parts.append(F.sum(F.when(inside & (weight > 0), weight * value)))
+        return F.coalesce(parts[0], F.lit(0.0)) + F.coalesce(parts[1], F.lit(0.0))
+
+    return sorted_bins.union(constant.select(sorted_bins.columns)).groupBy(*group).agg(
+        *[point(q).alias(f"q{i + 1}") for i, q in enumerate(QUARTILES)]
     )
 
 
+def _ranks(q: float):
+    """The two ranks (from 1) between which a quantile of ``m`` rows lies, with their weights."""
+    spot = (F.col("m") - 1) * F.lit(q)
+    low = F.floor(spot)
+    return [(low + 1, 1 - (spot - low)), (low + 2, spot - low)]
+
+
 def z_scores(lib: DataFrame, model: DataFrame) -> DataFrame:
     """Features relative to their playlist, in standard deviations."""
     return (

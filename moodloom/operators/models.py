@@ -1,10 +1,8 @@
-"""Whole-corpus models: Gaussian mixture, Mahalanobis score, projection,
-measures of a ranking."""
+"""Mahalanobis score, projection, measures of a ranking."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,77 +12,63 @@ from pyspark.sql import functions as F
 from moodloom.session import settle
 
 
-def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
-    """Bayesian information criterion of a mixture with full covariances."""
-    free = k * d + k * d * (d + 1) / 2 + k - 1
-    return free * np.log(n) - 2.0 * log_likelihood
+def shrunk_covariances(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(playlist_id, n, mean, scale, cov, shrinkage): covariance of the standardised
+    features of each playlist, drawn towards the mean variance.
 
-
-def single_gaussian(rows: DataFrame, features: list[str]) -> float:
-    """Log likelihood of one Gaussian with the covariance of the rows."""
-    d = len(features)
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
-    got = rows.agg(F.count(F.lit(1)), *[F.covar_pop(features[i], features[j]) for i, j in upper]).first()
-    cov = np.zeros((d, d))
-    for (i, j), v in zip(upper, got[1:]):
-        cov[i, j] = cov[j, i] = v
-    sign, logdet = np.linalg.slogdet(cov)
-    return -np.inf if sign <= 0 else -got[0] / 2 * (d * np.log(2 * np.pi) + logdet + d)
-
-
-def gaussian_mixture(
-    rows: DataFrame, features: list[str], k_max: int = 7, restarts: int = 10, max_iter: int = 100, seed: int = 42
-):
-    """(labelled rows, sizes, bics): mixture with the lowest BIC, k in
-    1..min(k_max, n), best of ``restarts`` seeds each; a singular fit is
-    skipped."""
-    data = settle(rows.withColumn("_v", array_to_vector(F.array(*[F.col(f) for f in features]))))
-    n, d = data.count(), len(features)
-    # One component has a closed form; the library starts at two.
-    alone = single_gaussian(data, features)
-    bics, best = {1: bic(alone, 1, d, n)}, (bic(alone, 1, d, n), None)
-    for k in range(2, min(k_max, n) + 1):
-        top = None
-        for turn in range(restarts):
-            try:
-                m = GaussianMixture(
-                    k=k, featuresCol="_v", seed=seed + turn, maxIter=max_iter, tol=1e-3
-                ).fit(data)
-            except Exception as e:  # a singular covariance ends this start only
-                if "singular" not in str(e).lower() and "positive" not in str(e).lower():
-                    raise
-                continue
-            if top is None or m.summary.logLikelihood > top.summary.logLikelihood:
-                top = m
-        if top is None:
-            continue
-        bics[k] = bic(top.summary.logLikelihood, k, d, n)
-        if bics[k] < best[0]:
-            best = (bics[k], top)
-    if best[1] is None:
-        labelled = data.withColumn("prediction", F.lit(0)).withColumn("probability", F.array(F.lit(1.0)))
-    else:
-        labelled = best[1].transform(data).withColumn("probability", vector_to_array("probability"))
-    labelled = labelled.drop("_v")
-    sizes = labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("size"))
-    return labelled, sizes, bics
-
-
-def mahalanobis(rows: DataFrame, features: list[str], cutoff: float, ridge: float = 1e-9) -> DataFrame:
-    """Distance of each row to the centre of its playlist under the playlist's
-    covariance, and whether its square exceeds ``cutoff`` (a chi-square
-    quantile). Rows with a null are left out.
-
-    Sums and products combine before the shuffle; the 9 x 9 inverse of a
-    playlist is made once from them, in a grouped map with one row per group.
+    ``cov`` is the upper triangle of ``(1 - s) S + s m I``: S the covariance, m its mean
+    diagonal, s the intensity of Ledoit and Wolf, which follows from the second moments
+    and the mean fourth power of a row's length. All moments combine before the shuffle.
+    A constant feature has scale 1, so it is zero in S. Rows with a null are left out.
     """
     d = len(features)
-    clean = rows.select("playlist_id", "track_id", *features).na.drop(subset=features)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
-    moments = clean.groupBy("playlist_id").agg(
+    clean = rows.select("playlist_id", *features).na.drop(subset=features)
+    center = clean.groupBy("playlist_id").agg(
+        F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(f) for f in features]).alias("mean"),
-        F.array(*[F.covar_pop(features[i], features[j]) for i, j in upper]).alias("cov"),
+        F.array(*[F.coalesce(F.nullif(F.stddev_pop(f), F.lit(0.0)), F.lit(1.0)) for f in features]).alias("scale"),
+    )
+    z = clean.join(center, "playlist_id").select(
+        "playlist_id", "n", "mean", "scale", *[((F.col(f) - F.col("mean")[i]) / F.col("scale")[i]).alias(f"z{i}") for i, f in enumerate(features)]
     )
+    length = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, d)), F.col("z0") * F.col("z0"))
+    moments = z.groupBy("playlist_id").agg(
+        F.first("n").alias("n"),
+        F.first("mean").alias("mean"),
+        F.first("scale").alias("scale"),
+        F.array(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}")) for i, j in upper]).alias("s"),
+        F.avg(length * length).alias("fourth"),
+    )
+    diagonal = [upper.index((i, i)) for i in range(d)]
+    m = sum((F.col("s")[p] for p in diagonal[1:]), F.col("s")[0]) / d
+    squares = sum(((1 if i == j else 2) * F.col("s")[p] * F.col("s")[p] for p, (i, j) in enumerate(upper)), F.lit(0.0))
+    moments = moments.withColumns({"m": m, "squares": squares})
+    noise = (F.col("fourth") - F.col("squares")) / (F.col("n") * d)
+    spread = F.col("squares") / d - F.col("m") * F.col("m")
+    moments = moments.withColumn(
+        "shrinkage", F.when(spread > 0, F.least(F.greatest(noise, F.lit(0.0)) / spread, F.lit(1.0))).otherwise(F.lit(0.0))
+    )
+    shrunk = F.transform(
+        "s",
+        lambda x, p: (1 - F.col("shrinkage")) * x
+        + F.when(F.array_contains(F.array(*[F.lit(p_) for p_ in diagonal]), p), F.col("shrinkage") * F.col("m")).otherwise(0.0),
+    )
+    return moments.select("playlist_id", "n", "mean", "scale", shrunk.alias("cov"), "shrinkage")
+
+
+def mahalanobis(rows: DataFrame, features: list[str], cutoff: float) -> DataFrame:
+    """Distance of each row to the centre of its playlist under the playlist's shrunk
+    covariance, and whether its square exceeds ``cutoff`` (a chi-square quantile). Rows
+    with a null are left out.
+
+    The inverse of a playlist is made once, by a Cholesky factor of its matrix (a
+    pseudo-inverse where it has none, as in a playlist of equal rows); the rows then
+    meet one bounded row a playlist.
+    """
+    d = len(features)
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    clean = rows.select("playlist_id", "track_id", *features).na.drop(subset=features)
     pid = rows.schema["playlist_id"].dataType.simpleString()
 
     def invert(batches):
@@ -94,12 +78,18 @@ def mahalanobis(rows: DataFrame, features: list[str], cutoff: float, ridge: floa
                 full = np.zeros((d, d))
                 for (i, j), v in zip(upper, cov):
                     full[i, j] = full[j, i] = v
-                out.append(np.linalg.pinv(full + ridge * np.eye(d), hermitian=True).ravel())
-            yield pdf[["playlist_id", "mean"]].assign(inv=out)
-
-    inverse = moments.mapInPandas(invert, f"playlist_id {pid}, mean array<double>, inv array<double>")
+                try:
+                    low = np.linalg.inv(np.linalg.cholesky(full))
+                    out.append((low.T @ low).ravel())
+                except np.linalg.LinAlgError:
+                    out.append(np.linalg.pinv(full, hermitian=True).ravel())
+            yield pdf[["playlist_id", "mean", "scale"]].assign(inv=out)
+
+    inverse = shrunk_covariances(rows, features).select("playlist_id", "mean", "scale", "cov").mapInPandas(
+        invert, f"playlist_id {pid}, mean array<double>, scale array<double>, inv array<double>"
+    )
     diff = F.transform(
-        F.array(*[F.col(f) for f in features]), lambda x, i: x - F.get(F.col("mean"), i)
+        F.array(*[F.col(f) for f in features]), lambda x, i: (x - F.get(F.col("mean"), i)) / F.get(F.col("scale"), i)
     )
     row = clean.join(inverse, "playlist_id").withColumn("_d", diff)
     # Sum over all (i, j) of d_i * inv_ij * d_j.
@@ -120,7 +110,10 @@ def mahalanobis(rows: DataFrame, features: list[str], cutoff: float, ridge: floa
 
 def project(rows: DataFrame, features: list[str]) -> DataFrame:
     """(.., x, y): the first two principal components of standardised
-    features over the whole corpus, for a map of moods."""
+    features over the whole corpus, for a map of moods.
+
+    The largest loading of a component is positive, so the map has one orientation.
+    """
     from pyspark.ml.feature import StandardScaler
 
     data = settle(
@@ -129,9 +122,13 @@ def project(rows: DataFrame, features: list[str]) -> DataFrame:
         .withColumn("_v", array_to_vector(F.array(*[F.col(f) for f in features])))
     )
     scaled = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(data).transform(data)
-    out = PCA(k=2, inputCol="_s", outputCol="_p").fit(scaled).transform(scaled)
+    model = PCA(k=2, inputCol="_s", outputCol="_p").fit(scaled)
+    pc = model.pc.toArray()
+    sign = np.sign(pc[np.abs(pc).argmax(0), [0, 1]])
     xy = vector_to_array("_p")
-    return out.select("track_id", xy[0].alias("x"), xy[1].alias("y"))
+    return model.transform(scaled).select(
+        "track_id", (xy[0] * float(sign[0])).alias("x"), (xy[1] * float(sign[1])).alias("y")
+    )
 
 
 def precision_at(ranked: DataFrame, k: int) -> DataFrame:

@@ -134,3 +134,31 @@ def test_robust_scale(spark):
     for i, v in enumerate(x):
         assert got[f"t{i:02d}"].energy == pytest.approx((v - q2) / (q3 - q1))
         assert got[f"t{i:02d}"].tempo == 0.0
+
+
+@pytest.mark.parametrize("small,bins", [(4096, 256), (10, 4), (1, 2)])
+def test_quartiles_by_bins(spark, monkeypatch, small, bins):
+    """Groups of every shape, cut into bins until they are small, against NumPy."""
+    monkeypatch.setattr(features, "SMALL", small)
+    monkeypatch.setattr(features, "BINS", bins)
+    rng = np.random.default_rng(small)
+    data = {
+        "normal": rng.normal(size=333),
+        "skewed": np.exp(rng.normal(size=200) * 8),
+        "ties": rng.integers(0, 3, 150).astype(float),
+        "constant": np.full(60, 4.25),
+        "one": np.array([7.0]),
+        "two": np.array([1.0, 2.0]),
+        "far": np.array([-1e308, 1e308, 0.0, 1.0, 2.0]),
+        "mostly": np.r_[np.zeros(100), rng.normal(size=20)],
+    }
+    rows = [(g, float(x)) for g, xs in data.items() for x in xs]
+    got = features.quartiles(spark.createDataFrame(rows, "g string, x double").repartition(4), ["g"]).collect()
+    assert len(got) == len(data)
+    for r in got:
+        x = np.sort(data[r.g])
+        for value, q in zip(r[1:], (0.25, 0.5, 0.75)):
+            spot = (len(x) - 1) * q
+            low = int(spot)
+            want = x[low] * (1 - (spot - low)) + (x[min(low + 1, len(x) - 1)] * (spot - low) if spot > low else 0.0)
+            assert value == pytest.approx(want, rel=1e-12, abs=1e-300)

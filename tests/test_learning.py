@@ -3,8 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 from small import audio, items, names, tracks
 
-from moodloom.operators import kmeans, models
-from moodloom.operators import knn
+from moodloom.operators import kmeans, knn, mixture, models
 from moodloom.operators.knn import knn_join
 from moodloom.plans.pipeline import analyze
 
@@ -212,15 +211,38 @@ def test_second_pass_visits_few_cells(spark):
     assert index.fines.selectExpr("sum(size(cells))").first()[0] > len(index.pivots)
 
 
+def shrunk(x):
+    """Ledoit and Wolf's covariance of standardised rows, by its definition, and the intensity."""
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+    n, d = z.shape
+    s = z.T @ z / n
+    m = np.trace(s) / d
+    spread = ((s - m * np.eye(d)) ** 2).sum() / d
+    noise = sum(((np.outer(r, r) - s) ** 2).sum() for r in z) / n**2 / d
+    share = min(noise, spread) / spread if spread > 0 else 0.0
+    return z, (1 - share) * s + share * m * np.eye(d), share
+
+
 def test_mahalanobis(spark):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3))
-    frame = spark.createDataFrame([("p", i, *map(float, v)) for i, v in enumerate(x)], "playlist_id string, track_id int, a double, b double, c double")
-    got = {r.track_id: r.score for r in models.mahalanobis(frame, ["a", "b", "c"], 11.345).collect()}
-    inv = np.linalg.inv(np.cov(x.T, bias=True))
-    mid = x - x.mean(0)
-    want = np.sqrt(np.einsum("ij,jk,ik->i", mid, inv, mid))
-    assert [got[i] for i in range(200)] == pytest.approx(want.tolist(), rel=1e-4)
+    data = {
+        "p": rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3)) * [1, 50, 0.01] + 7,
+        "few": rng.normal(size=(3, 3)),
+        "flat": np.c_[rng.normal(size=(40, 2)), np.full(40, 5.0)],
+        "equal": np.full((6, 3), 2.5),
+    }
+    rows = [(p, i, *map(float, v)) for p, x in data.items() for i, v in enumerate(x)] + [("p", 999, 1.0, None, 2.0)]
+    frame = spark.createDataFrame(rows, "playlist_id string, track_id int, a double, b double, c double")
+    got = {(r.playlist_id, r.track_id): r for r in models.mahalanobis(frame, ["a", "b", "c"], 11.345).collect()}
+    shares = {r.playlist_id: r.shrinkage for r in models.shrunk_covariances(frame, ["a", "b", "c"]).collect()}
+    assert len(got) == len(rows) - 1
+    for p, x in data.items():
+        z, cov, share = shrunk(x)
+        assert shares[p] == pytest.approx(share, abs=1e-9)
+        want = np.sqrt(np.einsum("ij,jk,ik->i", z, np.linalg.pinv(cov), z))
+        assert [got[p, i].score for i in range(len(x))] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
+        assert all(got[p, i].flagged == (got[p, i].score ** 2 > 11.345) for i in range(len(x)))
 
 
 def test_projection_keeps_the_variance(spark):
@@ -234,16 +256,37 @@ def test_projection_keeps_the_variance(spark):
     assert [got.x.var(), got.y.var()] == pytest.approx(top.tolist(), rel=1e-6)
 
 
-def test_mixture_prefers_two_components(spark):
+def test_mixture_prefers_two_components(spark, monkeypatch):
+    monkeypatch.setattr(kmeans.pack, "__defaults__", (64,))
     rng = np.random.default_rng(8)
-    x = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(8, 1, (150, 2))])
-    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "track_id int, a double, b double")
-    labelled, sizes, bics = models.gaussian_mixture(frame, ["a", "b"], k_max=3, restarts=2, max_iter=30)
+    x = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(8, 1, (150, 2)) * [1, 2]])
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(999, 1.0, None)]
+    frame = spark.createDataFrame(rows, "track_id int, a double, b double")
+    labelled, sizes, found = mixture.gaussian_mixture(frame, ["a", "b"], k_max=3, restarts=2, max_iter=30)
+    bics = {k: m.bic(300) for k, m in found.items()}
     assert min(bics, key=bics.get) == 2
     assert sorted(r["size"] for r in sizes.collect()) == [150, 150]
-    cov = np.cov(x.T, bias=True)
-    ll = -300 / 2 * (2 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + 2)
-    assert bics[1] == pytest.approx(models.bic(ll, 1, 2, 300))
+    cov = np.cov(x.T, bias=True) + 1e-4 * np.eye(2)
+    mid = x - x.mean(0)
+    ll = -0.5 * (300 * (2 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1]) + np.einsum("ij,jk,ik->", mid, np.linalg.inv(cov), mid))
+    assert bics[1] == pytest.approx(5 * np.log(300) - 2 * ll)
+    for m in found.values():  # never falls
+        assert all(b >= a - 1e-6 * abs(a) for a, b in zip(m.steps, m.steps[1:]))
+    # The covariances are those of the groups, and every row belongs somewhere.
+    best = found[2]
+    near = best.means[:, 0].argsort()
+    assert best.covariances[near[0]] == pytest.approx(np.cov(x[:150].T, bias=True) + 1e-4 * np.eye(2), abs=1e-3)
+    got = labelled.collect()
+    assert len(got) == 300 and all(sum(r.probability) == pytest.approx(1.0) for r in got)
+
+
+def test_mixture_of_equal_rows_and_of_none(spark):
+    """What has no regular covariance has one with the amount on its diagonal."""
+    frame = spark.createDataFrame([(i, 1.0, 2.0) for i in range(5)], "track_id int, a double, b double")
+    labelled, sizes, found = mixture.gaussian_mixture(frame, ["a", "b"], k_max=3, restarts=1)
+    assert sizes.agg(F.sum("size")).first()[0] == 5 and found[1].covariances[0] == pytest.approx(1e-4 * np.eye(2))
+    labelled, sizes, found = mixture.gaussian_mixture(frame.limit(0), ["a", "b"])
+    assert labelled.count() == 0 and sizes.count() == 0 and not found
 
 
 def test_roc_auc_two_ways(spark):
