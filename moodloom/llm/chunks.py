@@ -39,7 +39,9 @@ class Encoder:
     ``odd`` is a pattern of texts that need ``cut_odd`` (a list of chunks);
     ``encode`` turns a list of distinct chunks into lists of ids. ``first`` is put
     before the first chunk of a text. A worker remembers up to ``remembered``
-    distinct chunks; beyond that it starts afresh.
+    distinct chunks over all its tasks, in two halves: when the younger one is full it
+    becomes the older one, whose chunks come back as they are met again, so rare chunks
+    go and frequent ones stay.
     """
 
     def __init__(
@@ -58,18 +60,30 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.older = (self.known, self.flat, self.starts, self.sizes)
+
+    def age(self) -> None:
+        """What is known becomes the older half; the half before it goes."""
+        older = (self.known, self.flat, self.starts, self.sizes)
+        self.forget()
+        self.older = older
 
     def learn(self, chunks: list[str]) -> np.ndarray:
         """Numbers of distinct chunks."""
         new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.remembered and self.known:
-            self.forget()
+        if self.known and len(self.known) + len(new) > self.remembered // 2:
+            self.age()
             new = chunks
         if new:
-            ids = self.encode(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            known, flat, starts, sizes = self.older
+            met = [c for c in new if c in known]
+            fresh = [c for c in new if c not in known] if len(met) < len(new) else []
+            at = np.fromiter(map(known.__getitem__, met), np.int64, len(met))
+            ids = self.encode(fresh)
+            more = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.r_[gather(flat, starts[at], sizes[at]), np.fromiter((i for x in ids for i in x), np.int32, int(more.sum()))]
+            sizes = np.r_[sizes[at], more]
+            self.known.update(zip(met + fresh, range(len(self.known), len(self.known) + len(new))))
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
             self.sizes = np.r_[self.sizes, sizes]
             self.flat = np.r_[self.flat, flat]

@@ -68,7 +68,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(read(spark, sf_dir, "documents")).drop("kept")
 
 
-_SENTENCES = r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\f\r]*|[^.!?\n]+\z')"
+_SENTENCES = "regexp_extract_all(coalesce(text, ''), '" + spans.SENTENCE.replace("$", r"\z") + "')"
 
 
 @query(
@@ -78,10 +78,13 @@ WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 p AS (SELECT doc_id, text, {_SENTENCES} AS s FROM d),
 t AS (SELECT doc_id, text, s, list_transform(s, lambda x: lower(trim(translate(x, chr(9) || chr(10) || chr(12) || chr(13), '    ')))) AS q FROM p),
 i AS (SELECT *, unnest(range(0, len(s) - {spans.SPAN - 1})) AS pos FROM t WHERE len(s) >= {spans.SPAN}),
-h AS (SELECT doc_id, text, pos, array_to_string(q[pos + 1:pos + {spans.SPAN}], chr(10)) AS k FROM i),
-o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM h WHERE length(k) >= {spans.MIN_CHARS}),
-c AS (SELECT doc_id, text, list(DISTINCT place) AS gone FROM (
-  SELECT doc_id, text, unnest(range(pos, pos + {spans.SPAN})) AS place FROM o WHERE nth > 1) GROUP BY doc_id, text)
+h AS (SELECT doc_id, text, q, pos, md5(array_to_string(list_transform(q[pos + 1:pos + {spans.SPAN}], lambda x: md5(x)), '')) AS k FROM i),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM h),
+m AS (SELECT DISTINCT doc_id, text, place, length(q[place + 1]) AS n FROM (
+  SELECT doc_id, text, q, unnest(range(pos, pos + {spans.SPAN})) AS place FROM o WHERE nth > 1)),
+g AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, text ORDER BY place) AS run FROM m),
+l AS (SELECT doc_id, text, run FROM g GROUP BY doc_id, text, run HAVING sum(n) + count(*) - 1 >= {spans.MIN_CHARS}),
+c AS (SELECT g.doc_id, g.text, list(place) AS gone FROM g JOIN l ON l.doc_id = g.doc_id AND l.text = g.text AND l.run = g.run GROUP BY g.doc_id, g.text)
 SELECT documents.doc_id, len(s)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed,
   array_to_string(list_transform(list_filter(range(0, len(s)), lambda k: NOT list_contains(coalesce(gone, []), k)), lambda k: s[k + 1]), '') AS text
 FROM documents JOIN p ON p.doc_id = documents.doc_id AND p.text = coalesce(documents.text, '')
@@ -276,7 +279,8 @@ _CRC32 = """xor(4294967295, list_reduce(
     rf"""
 WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k, id, words FROM (
   SELECT conv_id, turn, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS id,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
 n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
 h AS (SELECT c, c - c % {prefixtrie.GROUP} AS base, {_CRC32} % {prefixtrie.HEADS} AS h FROM n),
 g AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS taken FROM h LEFT JOIN n b ON b.c = h.base),

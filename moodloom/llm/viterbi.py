@@ -35,8 +35,8 @@ from moodloom.llm.common import bound_batches, give_back, joined
 MARK = "▁"
 #: Texts whose cuts need the regular expression: runs of spaces, a leading space, literal marks.
 ODD = f"  |^ |{MARK}|\x1f"
-#: Distinct words a worker remembers.
-REMEMBERED = 200_000
+#: Distinct words a worker remembers, from one task to the next.
+REMEMBERED = 300_000
 _WORD = re.compile(f"\n|{MARK}| +[^ \n{MARK}]*|[^ \n{MARK}]+")
 
 
@@ -177,8 +177,6 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         pieces, encoder = _loaded(path)
         for texts in batches:
             yield pieces_of(texts, pieces, encoder)
-        # The words of a task go with it, the model stays.
-        encoder.forget()
         give_back()
 
     return docs.withColumn("pieces", all_pieces(F.coalesce(F.col(text), F.lit(""))))

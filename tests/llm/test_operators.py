@@ -61,24 +61,69 @@ def test_suffix_dedup(docs, empty):
     assert suffixes.dedup(empty).count() == 0
 
 
+def span_rule(rows):
+    """{(doc_id, text): (remaining text, removed units)} by the rule of the operator, with plain lists."""
+    rows = sorted({(d if d is not None else -(1 << 63), t or "") for d, t in rows}, key=lambda r: r[0])
+    cut = {r: spans._SENTENCE.findall(r[1]) for r in rows}
+    plain = {r: [x.replace("\t", " ").replace("\n", " ").replace("\f", " ").replace("\r", " ").strip(" ").lower() for x in s] for r, s in cut.items()}
+    first, marked = {}, {r: set() for r in rows}
+    for r in rows:
+        for i in range(len(plain[r]) - spans.SPAN + 1):
+            k = tuple(plain[r][i : i + spans.SPAN])
+            if first.setdefault(k, (r, i)) != (r, i):
+                marked[r] |= set(range(i, i + spans.SPAN))
+    out = {}
+    for r in rows:
+        gone, run = set(), []
+        for i in range(len(plain[r]) + 1):
+            if i in marked[r]:
+                run.append(i)
+                continue
+            if run and sum(len(plain[r][k]) for k in run) + len(run) - 1 >= spans.MIN_CHARS:
+                gone |= set(run)
+            run = []
+        out[r] = ("".join(x for i, x in enumerate(cut[r]) if i not in gone), len(gone))
+    return out
+
+
 def test_spans(docs, empty):
-    rows = sorted({(r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in docs.collect()})
-    first, want = {}, {}
-    for d, t in rows:
-        s = spans._SENTENCE.findall(t)
-        gone = set()
-        for i in range(len(s) - spans.SPAN + 1):
-            k = "\n".join(x.strip(" \t\n\f\r").lower() for x in s[i : i + spans.SPAN])
-            if len(k) >= spans.MIN_CHARS and first.setdefault(k, (d, i)) != (d, i):
-                gone |= set(range(i, i + spans.SPAN))
-        want[d, t] = ("".join(x for i, x in enumerate(s) if i not in gone), len(gone))
+    want = span_rule((r["doc_id"], r["text"]) for r in docs.collect())
     got = spans.dedup(docs).collect()
     assert len(got) == docs.count() and any(r["n_removed"] for r in got)
     for r in got:
         d = r["doc_id"] if r["doc_id"] is not None else -(1 << 63)
         assert (r["clean"], r["n_removed"]) == want[d, r["text"] or ""]
     assert spans.dedup(empty).count() == 0 and spans.cleaned(empty).columns == empty.columns
-    assert spans.cleaned(docs).columns == docs.columns
+
+
+def test_span_columns_keep_their_values(spark):
+    """Own columns named like inner ones or like results stay what they are."""
+    passage = "One line here.\nAnother short line!\nA third; with clauses, and words.\nThe last of them."
+    names = ["clean", "n_removed", "n_sentences", "covered", "runs", "places", "_id", "_th", "_row", "h", "salt", "first"]
+    rows = [(1, passage, *names), (2, "Start. " + passage, *names), (3, "Other, text. Not shared.", *names), (None, None, *names)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in names))
+    got = spans.cleaned(frame)
+    assert got.columns == frame.columns
+    kept = {r["doc_id"]: r for r in got.collect()}
+    assert {d: r["text"] for d, r in kept.items()} == {1: passage, 2: "Start. ", 3: rows[2][1]}
+    assert all(r[c] == c for r in kept.values() for c in names)
+    assert {r["doc_id"]: r["n_removed"] for r in spans.dedup(frame).collect()} == {1: 0, 2: 6, 3: 0, None: 0}
+
+
+def test_passages_that_whole_sentences_miss(spark, monkeypatch):
+    """Short lines, one long sentence, other scripts, and a span that is hot."""
+    monkeypatch.setattr(spans, "HOT_SHARE", 0.0)
+    lines = "\n".join(f"{k} SHOUT!!" for k in "ABCDEFGHIJKLMNOP")
+    long = ", ".join(f"a clause with the number {k} in it" for k in range(9))
+    other = "。".join("これは同じ文章です" + "あいうえお"[k] for k in range(5)) * 3
+    texts = [lines, "x " + lines + " y.", long, "He said " + long + " and left.", other, "前" + other + "後。"]
+    texts += ["Common start of all, every one of them in the same words. Another part that all have, too. " + str(k) for k in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = span_rule(enumerate(texts))
+    got = {r["doc_id"]: r for r in spans.dedup(frame).collect()}
+    assert all((r["clean"], r["n_removed"]) == want[d, texts[d]] for d, r in got.items())
+    assert all(got[d]["n_removed"] >= 7 and len(got[d]["clean"]) < 100 for d in (1, 3, 5))
+    assert got[6]["n_removed"] == 0 and all(got[d]["clean"] == str(d - 6) for d in range(7, 1506))
 
 
 def test_near_duplicates(docs, empty):

@@ -4,9 +4,11 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
-from moodloom.llm import chunks, hyperminhash, mixing, spans, viterbi  # noqa: E402
+from moodloom.llm import mixing, viterbi  # noqa: E402
+from test_operators import span_rule  # noqa: E402
 
 
 def test_stages_and_rows(spark, sf):
@@ -30,17 +32,7 @@ def test_stages_and_rows(spark, sf):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     stay = [d for d in ids if find(d) == d]
-    first, left = {}, {}
-    for d in stay:
-        s = spans._SENTENCE.findall(docs[d]["text"])
-        gone = set()
-        for i in range(len(s) - spans.SPAN + 1):
-            k = "\n".join(x.strip(" \t\n\f\r").lower() for x in s[i : i + spans.SPAN])
-            if len(k) >= spans.MIN_CHARS and first.setdefault(k, d) != d:
-                gone |= set(range(i, i + spans.SPAN))
-        text = "".join(x for i, x in enumerate(s) if i not in gone)
-        if text.strip(" "):
-            left[d] = text
+    left = {d: t for (d, _), (t, _) in span_rule((d, docs[d]["text"]) for d in stay).items() if t.strip(" ")}
     frame = spark.createDataFrame(
         [(d, t, docs[d]["source"]) for d, t in left.items()], "doc_id bigint, text string, source string"
     )
@@ -51,4 +43,4 @@ def test_stages_and_rows(spark, sf):
         want += [(d, sum(pieces.encode(viterbi.cut_words(" " + t)), []))] * taken[d]
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted(want)
-    assert len(corpus_pipeline.STAGES) == 5 and chunks and hyperminhash
+    assert len(corpus_pipeline.STAGES) == 5

@@ -198,3 +198,28 @@ def test_language_features_of_a_text_in_parts(monkeypatch):
     monkeypatch.setattr(langid, "STEP", 7)
     parts, again = langid.profiles(texts)
     assert np.array_equal(whole, parts) and letters.tolist() == again.tolist() == [True, False, True, True]
+
+
+def test_store_of_two_halves_gives_the_same_ids():
+    """Chunks that age, come back or are new: always the ids of the encoder, and most are not encoded again."""
+    import random
+
+    import numpy as np
+    from moodloom.llm import chunks
+
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [[len(w), *map(ord, w)] for w in words]
+
+    store = chunks.Encoder(encode, "x^", list, remembered=40)
+    rng = random.Random(1)
+    for _ in range(200):
+        words = list(dict.fromkeys(rng.choice("abcdefgh") if rng.random() < 0.8 else str(rng.randint(0, 10**6)) for _ in range(12)))
+        number = store.learn(words)
+        got = [store.flat[store.starts[n] : store.starts[n] + store.sizes[n]].tolist() for n in number]
+        assert got == [[len(w), *map(ord, w)] for w in words]
+        assert len(store.known) <= 20 and len(store.older[0]) <= 20
+    assert len([w for w in asked if len(w) == 1 and w.isalpha()]) == 8
+    assert np.issubdtype(store.flat.dtype, np.integer)
