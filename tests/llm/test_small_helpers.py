@@ -221,5 +221,6 @@ def test_store_of_two_halves_gives_the_same_ids():
         got = [store.flat[store.starts[n] : store.starts[n] + store.sizes[n]].tolist() for n in number]
         assert got == [[len(w), *map(ord, w)] for w in words]
         assert len(store.known) <= 20 and len(store.older[0]) <= 20
-    assert len([w for w in asked if len(w) == 1 and w.isalpha()]) == 8
+    # A frequent chunk is encoded anew only if it was not met for a whole half.
+    assert len([w for w in asked if w.isalpha()]) < 30
     assert np.issubdtype(store.flat.dtype, np.integer)
