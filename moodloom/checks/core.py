@@ -317,6 +317,22 @@ def a11b(s):
     return reports.deviation_counts(reports.parse_reasons(s.tracks, strict=False))
 
 
+@query(
+    "A11_facts",
+    sql(r"""SELECT playlist_id, track_id, regexp_extract(reason, 'dominant mood ''([^'']+)''', 1) AS mood,
+      TRY_CAST(regexp_extract(reason, 'distance_score=([\d.]+\d)', 1) AS DOUBLE) AS score,
+      regexp_extract(m, '^(higher|lower) (\w+) by ([0-9]+(?:[.][0-9]+)?)', 1) AS direction,
+      regexp_extract(m, '^(higher|lower) (\w+) by ([0-9]+(?:[.][0-9]+)?)', 2) AS feature,
+      TRY_CAST(regexp_extract(m, '^(higher|lower) (\w+) by ([0-9]+(?:[.][0-9]+)?)', 3) AS DOUBLE) AS amount
+      FROM (SELECT playlist_id, track_id, reason, unnest(CASE WHEN len(f) = 0 THEN [NULL] ELSE f END) AS m FROM (
+        SELECT *, regexp_extract_all(reason, '(?:higher|lower) \w+ by [0-9]+(?:[.][0-9]+)?(?: \w+)?') AS f
+        FROM rows WHERE is_anomaly))"""),
+)
+def a11c(s):
+    """Every deviation of every flagged track; one row without for a sentence that names none."""
+    return reports.parse_reasons(s.tracks)
+
+
 @query(
     "A12_ranked_outliers",
     sql("""SELECT playlist_id, CAST(rn AS INT) AS rn, track_id, round(anomaly_score, 6) AS anomaly_score FROM (
