@@ -17,7 +17,11 @@ pattern that holds most rows is spread over tasks.
 
 Defined cases: null sizes count 0; documents of size 0 take nothing; a null source
 is a source of its own and comes last; documents equal in doc_id and text share a
-place and are taken alike; a source without words has target 0.
+place and are taken alike; a source without words has target 0; other columns
+pass unchanged, whatever their names (the row travels as one struct), but a column named
+like a result column is given with underscores at its end (``mix``, ``of_source``);
+a text of any length counts whole and is one document of the line; an empty table
+gives an empty mix.
 """
 
 from __future__ import annotations
@@ -145,18 +149,19 @@ def stretches(size: int, routed: dict) -> list[tuple[int, int, str | None]]:
     return out
 
 
-def mix(docs: DataFrame, sources: str = "sources", size: str = "size", seed: str = SEED) -> DataFrame:
-    """``docs`` with pattern, uses: array of the sources that take the document, one entry per use.
-
-    ``docs`` needs doc_id, text, an array of sources and a size. Also given per row:
-    source_sizes and targets, maps by source with null as ``NULL_KEY``.
-    """
+def routed(docs: DataFrame, sources: Column, size: Column, seed: str = SEED) -> DataFrame:
+    """One row per row of ``docs``: doc, the struct of all its columns, and pattern, size, uses, source_sizes, targets."""
     spark = docs.sparkSession
     place = F.md5(
         F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     )
-    rows = docs.withColumn("pattern", F.array_sort(F.array_distinct(sources))).withColumn("place", place)
-    keyed = settle(rows.groupBy("pattern", "place").agg(F.sum(size).alias("size")))
+    rows = docs.select(
+        F.struct("*").alias("doc"),
+        F.array_sort(F.array_distinct(sources)).alias("pattern"),
+        place.alias("place"),
+        F.coalesce(size, F.lit(0)).cast("bigint").alias("size"),
+    )
+    keyed = settle(rows.groupBy("pattern", "place").agg(F.sum("size").alias("size")))
     ranges = keyed.groupBy("pattern", F.substring("place", 1, DIGITS).alias("range")).agg(F.sum("size").alias("size"))
     sums = keyed.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
@@ -223,21 +228,42 @@ def _json(by_source: dict) -> str:
     return json.dumps({NULL_KEY if s is None else s: v for s, v in by_source.items()})
 
 
+def beside(docs: DataFrame, own: list[str]) -> list[Column]:
+    """The columns of ``docs`` out of the struct doc; a name in ``own`` gets underscores at its end until it is free."""
+    used = {c.lower() for c in [*own, *docs.columns]}
+    out = []
+    for c in docs.columns:
+        name = c
+        if c.lower() in {o.lower() for o in own}:
+            while name.lower() in used:
+                name += "_"
+            used.add(name.lower())
+        out.append(F.col("doc")[c].alias(name))
+    return out
+
+
+def mix(docs: DataFrame, sources: str = "sources", size: str = "size", seed: str = SEED) -> DataFrame:
+    """``docs`` with pattern, uses: array of the sources that take the document, one entry per use.
+
+    ``docs`` needs doc_id, text, an array of sources and a size. Also given per row:
+    source_sizes and targets, maps by source with null as ``NULL_KEY``.
+    """
+    own = ["pattern", "uses", "source_sizes", "targets"]
+    return routed(docs, F.col(sources), F.col(size), seed).select(*beside(docs, own), *own)
+
+
 def of_source(docs: DataFrame) -> DataFrame:
-    """Documents of one source each, mixed: doc_id, size, source_size, target, taken and the text columns."""
-    mixed = mix(docs.withColumn("size", word_count()).withColumn("sources", F.array("source")))
-    key = F.coalesce("source", F.lit(NULL_KEY))
-    return mixed.withColumns(
-        {
-            "source_size": F.element_at("source_sizes", key),
-            "target": F.element_at("targets", key),
-            "taken": F.col("size") * F.size("uses"),
-        }
+    """Documents of one source each, mixed: ``docs`` with size, source_size, target and taken."""
+    key = F.coalesce("doc.source", F.lit(NULL_KEY))
+    return routed(docs, F.array("source"), word_count()).select(
+        *beside(docs, ["size", "source_size", "target", "taken"]),
+        "size",
+        F.element_at("source_sizes", key).alias("source_size"),
+        F.element_at("targets", key).alias("target"),
+        (F.col("size") * F.size("uses")).alias("taken"),
     )
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: each document once per use, in the columns of ``docs``."""
-    columns = docs.columns
-    mixed = mix(docs.withColumn("_size", word_count()).withColumn("_sources", F.array("source")), "_sources", "_size")
-    return mixed.withColumn("_use", F.explode("uses")).select(columns)
+    return routed(docs, F.array("source"), word_count()).select("doc", F.explode("uses")).select("doc.*")

@@ -200,6 +200,31 @@ def test_mix(spark, docs, empty):
     assert mixing.repeated(docs).columns == docs.columns and mixing.repeated(empty).count() == 0
 
 
+def test_mix_keeps_values_of_clashing_columns(spark, docs):
+    names = ["place", "cuts", "pattern", "uses", "targets", "source_sizes", "size", "taken", "Target", "doc", "col", "sources"]
+    mine = {c: f"my {c}" for c in names}
+    plain = docs.select("doc_id", "text", "source")
+    wide = plain.withColumns({c: mixing.F.lit(v) for c, v in mine.items()})
+    uses = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.of_source(plain).collect()}
+    many = mixing.repeated(wide)
+    assert many.columns == wide.columns
+    got = many.collect()
+    assert all(r[c] == v for r in got for c, v in mine.items())
+    counts = {}
+    for r in plain.collect():
+        counts[r["doc_id"], r["text"]] = counts.get((r["doc_id"], r["text"]), 0) + uses[r["doc_id"]]
+    seen = {}
+    for r in got:
+        seen[r["doc_id"], r["text"]] = seen.get((r["doc_id"], r["text"]), 0) + 1
+    sized = {k: n for k, n in counts.items() if n and (k[1] or "").split()}
+    assert {k: n for k, n in seen.items() if (k[1] or "").split()} == sized
+    row = mixing.of_source(wide).first()
+    assert (row["place"], row["size_"], row["taken_"], row["Target_"]) == ("my place", "my size", "my taken", "my Target")
+    lists = plain.select("*", mixing.F.array("source").alias("sources"), mixing.F.lit(3).alias("size"), mixing.F.lit("p").alias("pattern"))
+    row = mixing.mix(lists).first()
+    assert row["pattern_"] == "p" and row["pattern"] == row["sources"] == [row["source"]] and row["size"] == 3
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, f"text {i}", ["a"] if i % 3 else ["a", "b"], 10) for i in range(300)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, sources array<string>, size bigint")).collect()
