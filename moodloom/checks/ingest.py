@@ -10,6 +10,9 @@ from moodloom.checks.registry import query, r6
 from moodloom.functions.columns import tokens
 from moodloom.operators import state
 from moodloom.operators.grouping import keep_first
+from moodloom.plans import incremental
+from moodloom.schema import FEATURES
+from moodloom.session import state_folder
 from moodloom.sources import payloads, sinks, tables
 
 # --- payloads ----------------------------------------------------------------
@@ -295,6 +298,76 @@ def i13b(s):
     )
 
 
+_SUMMARY_LINE = """playlist_name string, summary struct<num_tracks: bigint, num_eligible: bigint, num_excluded_missing_all: bigint,
+  num_excluded_insufficient_audio_cluster: bigint, num_clusters: bigint, num_anomalies: bigint, anomaly_score_cutoff: double>"""
+_CENTROID = "struct<audio_means: map<string, double>, top_tags: array<string>, tag_weights_top: map<string, double>>"
+# One text per cluster: its words in order, and its means and weights by name, six digits.
+_TAG_LINES = """SELECT playlist_id, cluster_id, string_agg(term, '|' ORDER BY rank) AS top_tags,
+  sum(weight) AS weights FROM top_tags GROUP BY 1, 2"""
+_MEAN_SUM = " + ".join(f"coalesce({f}, 0)" for f in FEATURES)
+_SUMMARY_SQL = """playlist_id, name AS playlist_name, num_tracks, num_eligible, num_excluded_missing_all,
+  num_excluded_insufficient_audio_cluster, num_clusters, num_anomalies, round(anomaly_score_cutoff, 6) AS anomaly_score_cutoff"""
+
+
+def head_lines(lines):
+    """Name and summary of the playlists, read back from the written heads."""
+    doc = lines.filter("kind = 'head'").select("playlist_id", F.from_json("json", _SUMMARY_LINE).alias("d"))
+    return doc.select("playlist_id", "d.playlist_name", "d.summary.*").withColumn(
+        "anomaly_score_cutoff", r6("anomaly_score_cutoff")
+    )
+
+
+def centroid_columns(c):
+    """What the SQL twins compare of a centroid: feature count, sums, words."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0e0), lambda a, x: a + F.coalesce(x, F.lit(0e0)))
+    return [
+        r6(total(c["audio_means"])).alias("means"),
+        F.array_join(c["top_tags"], "|").alias("top_tags"),
+        r6(total(c["tag_weights_top"])).alias("weights"),
+    ]
+
+
+@query("I13_insights_heads", sql(f"SELECT {_SUMMARY_SQL}, (SELECT count(*) FROM playlists) AS num_playlists FROM summary"))
+def i13c(s):
+    lines = sinks.insights(s)
+    payload = lines.filter("kind = 'payload'").select(F.from_json("json", "num_playlists bigint").alias("p"))
+    return head_lines(lines).withColumn("num_playlists", payload.select("p.num_playlists").scalar())
+
+
+@query(
+    "I13_insights_clusters",
+    sql(f"""SELECT playlist_id, label, cluster_id, size, round(means, 6) AS means, coalesce(top_tags, '') AS top_tags,
+      round(coalesce(weights, 0), 6) AS weights FROM (SELECT playlist_id, label, cluster_id, size, {_MEAN_SUM} AS means FROM clusters WHERE kept
+        QUALIFY row_number() OVER (PARTITION BY playlist_id, label ORDER BY cluster_id DESC) = 1)
+      LEFT JOIN tag_lines USING (playlist_id, cluster_id)""", {"tag_lines": _TAG_LINES}),
+)
+def i13d(s):
+    line = f"clusters map<string, struct<cluster_id: int, size: bigint, centroid_features: {_CENTROID}>>"
+    doc = sinks.insights(s).filter("kind = 'head'").select("playlist_id", F.from_json("json", line).alias("d"))
+    at = doc.select("playlist_id", F.explode("d.clusters").alias("label", "c"))
+    return at.select("playlist_id", "label", "c.cluster_id", "c.size", *centroid_columns(F.col("c.centroid_features")))
+
+
+@query(
+    "I13_insights_members",
+    sql("""SELECT playlist_id, label, CAST(row_number() OVER (PARTITION BY playlist_id, label ORDER BY pos, track_id)
+        AS INT) AS place, track_id FROM rows r JOIN (SELECT playlist_id, max(cluster_id) AS cluster_id FROM clusters
+        WHERE kept GROUP BY playlist_id, label) USING (playlist_id, cluster_id)"""),
+)
+def i13e(s):
+    return read_back(sinks.insights(s), "cluster", "label string", "tracks")
+
+
+def read_back(lines, kind, key, items):
+    """Place and track of every item on the pages of one kind; ``key`` is the page's own column."""
+    line = f"{key}, page bigint, {items} array<struct<track_id: bigint>>"
+    doc = lines.filter(F.col("kind") == kind).select("playlist_id", F.from_json("json", line).alias("d"))
+    name = key.split()[0]
+    at = doc.select("playlist_id", f"d.{name}", "d.page", F.posexplode(f"d.{items}").alias("i", "t"))
+    place = (F.col("page") * sinks.PAGE_ROWS + F.col("i") + 1).cast("int").alias("place")
+    return at.select("playlist_id", name, place, "t.track_id")
+
+
 @query("I14_enriched_export")
 def i14(s):
     return sinks.enriched_export(s.library, s.playlists)
@@ -343,6 +416,58 @@ def i15b(s):
     )
 
 
+@query("I15_analysis_heads", sql(f"SELECT {_SUMMARY_SQL} FROM summary"))
+def i15c(s):
+    return head_lines(sinks.analysis_export(s))
+
+
+@query(
+    "I15_analysis_clusters",
+    sql(f"""SELECT playlist_id, cluster_id, label, size, round({_MEAN_SUM}, 6) AS means, coalesce(top_tags, '') AS top_tags,
+      round(coalesce(weights, 0), 6) AS weights FROM clusters LEFT JOIN tag_lines USING (playlist_id, cluster_id) WHERE kept""",
+        {"tag_lines": _TAG_LINES}),
+)
+def i15d(s):
+    line = "clusters array<struct<cluster_id: int, label: string, size: bigint, centroid: string>>"
+    doc = sinks.analysis_export(s).filter("kind = 'head'").select("playlist_id", F.from_json("json", line).alias("d"))
+    at = doc.select("playlist_id", F.explode("d.clusters").alias("c"))
+    at = at.select("playlist_id", "c.*").withColumn("centroid", F.from_json("centroid", _CENTROID))
+    return at.select("playlist_id", "cluster_id", "label", "size", *centroid_columns(F.col("centroid")))
+
+
+@query(
+    "I15_analysis_moods",
+    sql("""SELECT playlist_id, label AS mood_label, string_agg(DISTINCT CAST(cluster_id AS VARCHAR), '|' ORDER BY CAST(cluster_id AS VARCHAR))
+      AS cluster_ids, CAST(sum(size) AS BIGINT) AS num_tracks FROM clusters WHERE kept GROUP BY 1, 2"""),
+)
+def i15e(s):
+    line = "moods map<string, struct<cluster_ids: array<string>, num_tracks: bigint>>"
+    doc = sinks.analysis_export(s).filter("kind = 'head'").select("playlist_id", F.from_json("json", line).alias("d"))
+    at = doc.select("playlist_id", F.explode("d.moods").alias("mood_label", "m"))
+    return at.select("playlist_id", "mood_label", F.array_join(F.array_sort("m.cluster_ids"), "|").alias("cluster_ids"), "m.num_tracks")
+
+
+@query(
+    "I15_analysis_mood_pages",
+    sql("""SELECT playlist_id, label AS mood_label, CAST(row_number() OVER (PARTITION BY playlist_id, label
+      ORDER BY cluster_id, pos, track_id) AS INT) AS place, track_id FROM rows WHERE cluster_id IS NOT NULL"""),
+)
+def i15f(s):
+    return read_back(sinks.analysis_export(s), "mood", "mood_label string", "tracks")
+
+
+@query(
+    "I15_analysis_excluded_pages",
+    sql("""SELECT playlist_id, CAST(row_number() OVER (PARTITION BY playlist_id ORDER BY pos, track_id) AS INT) AS place,
+      track_id FROM rows WHERE NOT eligible"""),
+)
+def i15g(s):
+    line = "page bigint, excluded_track_ids array<bigint>"
+    doc = sinks.analysis_export(s).filter("kind = 'excluded'").select("playlist_id", F.from_json("json", line).alias("d"))
+    at = doc.select("playlist_id", "d.page", F.posexplode("d.excluded_track_ids").alias("i", "track_id"))
+    return at.select("playlist_id", (F.col("page") * sinks.PAGE_ROWS + F.col("i") + 1).cast("int").alias("place"), "track_id")
+
+
 # --- state -------------------------------------------------------------------
 
 # The events before this time are the state that is known, those after it the news;
@@ -380,6 +505,60 @@ def c1(s):
     return state.changed_playlists(wanted, current, cached)
 
 
+# Entries added before this day are what the first run sees, all entries what the second one sees.
+CUT = "2001-11-02 00:00:00"
+
+
+def incremental_runs(s):
+    """Two incremental runs over one stored state: the entries before the cut, then all.
+
+    A playlist's snapshot names its entries, so only playlists with later entries are
+    analysed again; the rows of the others come from the first run.
+    """
+    if not hasattr(s, "_incremental"):
+        folder = state_folder(s.spark)
+        for cond in (f"added_at < timestamp_ntz'{CUT}'", "TRUE"):
+            raw = tables.raw_items(s.spark, s.sf_dir).filter(cond)
+            count = raw.groupBy("playlist_id").agg(F.concat_ws("-", F.count(F.lit(1)), F.max("pos")).alias("snapshot_id"))
+            lists = s.playlists.drop("snapshot_id").join(count, "playlist_id", "left").fillna("none", "snapshot_id")
+            items = keep_first(raw, ["playlist_id", "track_id"], ["pos", "added_at"])
+            s._incremental = incremental.run(folder, lists, items, s.source_tracks, assign=tables.planted)
+    return s._incremental
+
+
+_RUNS = {
+    "snaps": "SELECT playlist_id, count(*) || '-' || max(pos) AS snapshot_id FROM raw_items GROUP BY 1",
+    "snaps0": f"""SELECT playlist_id, count(*) || '-' || max(pos) AS cached_snapshot FROM raw_items
+      WHERE added_at < TIMESTAMP '{CUT}' GROUP BY 1""",
+    "runs": """SELECT playlist_id, coalesce(snapshot_id, 'none') AS snapshot_id,
+      CASE WHEN coalesce(snapshot_id, 'none') = coalesce(cached_snapshot, 'none') THEN 'hit' ELSE 'fetch' END AS status
+      FROM playlists_ LEFT JOIN snaps USING (playlist_id) LEFT JOIN snaps0 USING (playlist_id)""",
+    "playlists_": "SELECT s_suppkey AS playlist_id FROM supplier",
+}
+
+
+@query(
+    "C1_incremental_summary",
+    sql("""SELECT * REPLACE (round(anomaly_score_cutoff, 6) AS anomaly_score_cutoff) FROM summary JOIN runs USING (playlist_id)""", _RUNS),
+)
+def c1b(s):
+    status, out = incremental_runs(s)
+    both = out["summary"].join(status.select("playlist_id", "status"), "playlist_id")
+    return both.withColumn("anomaly_score_cutoff", r6("anomaly_score_cutoff"))
+
+
+@query(
+    "C1_incremental_tracks",
+    sql("""SELECT playlist_id, snapshot_id, track_id, cluster_id, label, round(anomaly_score, 6) AS anomaly_score, is_anomaly
+      FROM rows JOIN runs USING (playlist_id)""", _RUNS),
+)
+def c1c(s):
+    rows = incremental_runs(s)[1]["tracks"]
+    return rows.select(
+        "playlist_id", "snapshot_id", "track_id", "cluster_id", "label", r6("anomaly_score").alias("anomaly_score"), "is_anomaly"
+    )
+
+
 def stored_tracks(s):
     """Tracks known so far: those of the older entries."""
     old = s.read("lineitem").filter("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'")

@@ -68,6 +68,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def state_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, for tables that a job keeps changing."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/state/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for small states between iterations."""
     ensure_checkpoint_dir(df.sparkSession)
