@@ -66,6 +66,18 @@ _PRINT = {
 }
 
 
+# All pairs of fingerprints; a dimension that one side lacks counts as 0.
+_PRINT_PAIRS = {
+    "fp_pairs": """SELECT ia, ib, c, sqrt(apart + CASE WHEN shared = na THEN 0 ELSE greatest(qa - sa, 0) END
+          + CASE WHEN shared = nb THEN 0 ELSE greatest(qb - sb, 0) END) AS e
+        FROM (SELECT a.playlist_id AS ia, b.playlist_id AS ib, sum(a.x * b.x) AS c, sum((a.x - b.x) * (a.x - b.x)) AS apart,
+            sum(a.x * a.x) AS sa, sum(b.x * b.x) AS sb, count(*) AS shared
+          FROM fp a JOIN fp b USING (dim) WHERE a.playlist_id < b.playlist_id GROUP BY 1, 2)
+        JOIN (SELECT playlist_id AS ia, count(*) AS na, sum(x * x) AS qa FROM fp GROUP BY 1) USING (ia)
+        JOIN (SELECT playlist_id AS ib, count(*) AS nb, sum(x * x) AS qb FROM fp GROUP BY 1) USING (ib)""",
+}
+
+
 @query("D1_fingerprints", sql("SELECT playlist_id, dim, round(x, 6) AS x FROM fp", _PRINT))
 def d1(s):
     return _prints(s).withColumn("x", r6("x"))
@@ -79,19 +91,30 @@ def _prints(s):
 
 @query(
     "D1_similar_pairs",
-    sql("""SELECT request_id, playlist_id_a, playlist_id_b, round(c, 6) AS cosine,
-      round(sqrt(greatest(2 - 2 * c, 0)), 4) AS euclidean
-      FROM asked_pairs JOIN (SELECT a.playlist_id AS ia, b.playlist_id AS ib, sum(a.x * b.x) AS c FROM fp a JOIN fp b USING (dim)
-        WHERE a.playlist_id < b.playlist_id GROUP BY 1, 2) ON ia = playlist_id_a AND ib = playlist_id_b""",
-        {"asked": _ASKED, "asked_pairs": _PAIRS, **_PRINT}),
+    sql("""SELECT request_id, playlist_id_a, playlist_id_b, round(c, 6) AS cosine, round(e, 6) AS euclidean
+      FROM asked_pairs JOIN fp_pairs ON ia = playlist_id_a AND ib = playlist_id_b""",
+        {"asked": _ASKED, "asked_pairs": _PAIRS, **_PRINT, **_PRINT_PAIRS}),
 )
 def d1b(s):
     sim = compare.fingerprint_similarity(_prints(s), requests(s))
     return sim.select(
-        "request_id", "playlist_id_a", "playlist_id_b", r6("cosine").alias("cosine"), F.round("euclidean", 4).alias("euclidean")
+        "request_id", "playlist_id_a", "playlist_id_b", r6("cosine").alias("cosine"), r6("euclidean").alias("euclidean")
     )
 
 
+@query(
+    "D1_most_similar",
+    sql("""SELECT ia AS playlist_id, ib AS other_id, round(c, 6) AS cosine, round(e, 6) AS euclidean,
+        CAST(row_number() OVER (PARTITION BY ia ORDER BY round(c, 9) DESC, ib) AS INT) AS rank
+      FROM (SELECT ia, ib, c, e FROM fp_pairs UNION ALL SELECT ib, ia, c, e FROM fp_pairs)
+      QUALIFY row_number() OVER (PARTITION BY ia ORDER BY round(c, 9) DESC, ib) <= 5""",
+        {**_PRINT, **_PRINT_PAIRS}),
+)
+def d1d(s):
+    top = compare.most_similar(_prints(s), 5)
+    return top.withColumns({"cosine": r6("cosine"), "euclidean": r6("euclidean")})
+
+
 @query(
     "D1_outlier_ranking",
     sql("""SELECT a.playlist_id, round(sum(a.x * b.x) / ((SELECT count(DISTINCT playlist_id) FROM fp) - 1), 6) AS mean_cosine

@@ -314,6 +314,27 @@ class Index:
         found = self._meet(self.routed).join(mine, [*keys, "track_id"], "left_anti")
         return top_in_group(found, [*keys, "qid"], rank, k)
 
+    def within(self, queries: DataFrame) -> DataFrame:
+        """All tracks no further than ``bound`` from each query.
+
+        queries: (playlist_id, part, qid, vec, bound). Returns (playlist_id, part, qid,
+        track_id, distance). Only cells that reach into the bound are visited.
+        """
+        ask = F.struct(
+            "playlist_id",
+            "part",
+            "qid",
+            F.col("vec").cast("array<double>").alias("vec"),
+            F.col("bound").cast("double").alias("bound"),
+            F.lit((1 << 31) - 1).cast("bigint").alias("take"),
+        )
+        if self.total == 0:
+            return queries.select("playlist_id", "part", "qid").limit(0).join(
+                self.rows.select("track_id", F.lit(0.0).alias("distance")), F.lit(False)
+            )
+        self.routed = self._route(settle(queries.select(ask.alias("ask"))), False)
+        return self._meet(self.routed)
+
     def visited_share(self) -> float:
         """Share of (query, track) pairs that the second pass of the last search looks at."""
         asked = self.routed.select("cell", F.size("asks").alias("asks")).join(self.sizes, "cell")
