@@ -2,21 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodloom.functions.columns import link_id, playlist_ref
 from moodloom.schema import FEATURES, PLAYLIST_DOC
+from moodloom.session import settle
 
 
 def read_playlists(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Nested playlist documents from JSON files.
 
-    One document per line is splittable. ``multi_line`` reads files that hold
-    one JSON array; such a file is one task, so keep those files small.
+    One document per line is read as it is. With ``multi_line`` a file holds one JSON
+    array (or one document), on any number of lines; large files are split too.
     """
-    raw = spark.read.schema(PLAYLIST_DOC).option("multiLine", multi_line).json(path)
-    return with_defaults(raw)
+    if multi_line:
+        return parse_playlists(read_array(spark, path), "doc")
+    return with_defaults(spark.read.schema(PLAYLIST_DOC).json(path))
+
+
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """(file, nth, doc): the objects of JSON array files as texts, counted from 0.
+
+    A file is not one task. Spark reads it in splits, cut after closing braces into
+    pieces. Whether a piece starts inside a string is the parity of the quotes before
+    it, and how deep it lies is a running sum of brackets outside strings; both are
+    summed up per split first, so only one row a split is ordered over a whole file and
+    only the pieces of one split in a task. An object ends where the depth is back at
+    that of the array. Compressed files cannot be split.
+
+    A file without an array around its objects works as well. Elements that are not
+    objects, and a last object without an end, give no row; a blank file gives none.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    quote, bracket = F.lit('"'), r"[^\[\]{}]"
+    # A character after a backslash, a quote above all, is never a mark.
+    plain = F.regexp_replace(F.concat("value", F.lit("}")), r"(?s)\\.", "")
+    pieces = settle(
+        raw.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("at"),
+            "value",
+            F.regexp_replace(plain, r'[^"\[\]{}]', "").alias("marks"),
+        )
+    )
+    files = pieces.groupBy("file").agg(F.min_by("value", F.struct("split", "at")).alias("head"))
+    base = files.select("file", F.col("head").rlike(r"^[\s\uFEFF]*\[").cast("int").alias("base"))
+
+    def depth(text: Column) -> Column:
+        only = F.regexp_replace(text, bracket, "")
+        opened = F.length(F.regexp_replace(only, r"[\]}]", ""))
+        return 2 * opened - F.length(only)
+
+    def outside(start: int) -> Column:
+        """Change of depth of a piece that starts outside (0) or inside (1) a string."""
+        parts = F.split("marks", '"', -1)
+        return depth(F.array_join(F.filter(parts, lambda p, i: i % 2 == start), ""))
+
+    inner = Window.partitionBy("file", "split").orderBy("at")
+    outer = Window.partitionBy("file").orderBy("split")
+
+    def before(column: str, window) -> Column:
+        earlier = F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(earlier, F.lit(0))
+
+    def carried(rows: DataFrame, column: str, name: str) -> DataFrame:
+        """Adds ``name``: the sum of ``column`` over the splits before this one."""
+        per = rows.groupBy("file", "split").agg(F.sum(column).alias(column))
+        return rows.join(per.select("file", "split", before(column, outer).alias(name)), ["file", "split"])
+
+    marked = pieces.select(
+        "file",
+        "split",
+        "at",
+        (F.length("marks") - F.length(F.replace("marks", quote, F.lit("")))).alias("quotes"),
+        outside(0).alias("free"),
+        outside(1).alias("quoted"),
+    )
+    inside = (F.col("so_far") + before("quotes", inner)) % 2
+    known = carried(marked, "quotes", "so_far").withColumn("inside", inside).select(
+        "file",
+        "split",
+        "at",
+        F.when(F.col("inside") == 1, F.col("quoted")).otherwise(F.col("free")).alias("change"),
+        ((F.col("inside") + F.col("quotes")) % 2 == 0).alias("closes"),
+    )
+    level = F.col("so_far") + before("change", inner) + F.col("change")
+    ends = (
+        carried(known, "change", "so_far")
+        .withColumn("level", level)
+        .join(base, "file")
+        .select("file", "split", "at", (F.col("closes") & (F.col("level") == F.col("base"))).cast("int").alias("end"))
+    )
+    ends = settle(carried(ends, "end", "so_far").withColumn("nth", F.col("so_far") + before("end", inner)))
+    whole = (
+        pieces.select("file", "split", "at", "value")
+        .join(ends.select("file", "split", "at", "nth", "end"), ["file", "split", "at"])
+        .groupBy("file", "nth")
+        .agg(F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("p"), F.max("end").alias("done"))
+        .where("done = 1")
+    )
+    text = F.concat(F.array_join(F.col("p.value"), "}"), F.lit("}"))
+    return whole.select("file", "nth", F.regexp_replace(text, r"^[^{]*", "").alias("doc"))
 
 
 def parse_playlists(docs: DataFrame, column: str = "doc") -> DataFrame:
