@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodloom.functions.columns import norm, number, tag_weight, tokens, unit
-from moodloom.operators.grouping import top_in_group
+from moodloom.operators.grouping import hot_join, top_in_group
 from moodloom.schema import FEATURES
 from moodloom.session import settle
 
@@ -132,9 +132,9 @@ def transform(lib: DataFrame, model: DataFrame) -> DataFrame:
 
     The model row of a playlist is bounded (nine features, 200 terms), so one
     join brings scaling and vocabulary to the tracks; the term rows are never
-    shuffled a second time. Adaptive execution splits a skewed playlist.
+    shuffled a second time. The rows of a very long playlist are dealt out.
     """
-    joined = lib.filter("eligible").join(model, "playlist_id")
+    joined = hot_join(lib.filter("eligible"), model, ["playlist_id"], ["track_id"], model.select("playlist_id", "n"))
     raw = joined.withColumn("audio", F.array(*[scaled(f) for f in FEATURES])).withColumn(
         "_raw",
         F.transform(
@@ -264,11 +264,9 @@ def _ranks(q: float):
 
 def z_scores(lib: DataFrame, model: DataFrame) -> DataFrame:
     """Features relative to their playlist, in standard deviations."""
-    return (
-        lib.filter("eligible")
-        .join(model.drop("vocab"), "playlist_id")
-        .select("playlist_id", "track_id", *[scaled(f).alias(f) for f in FEATURES])
-    )
+    sizes = model.select("playlist_id", "n")
+    joined = hot_join(lib.filter("eligible"), model.drop("vocab"), ["playlist_id"], ["track_id"], sizes)
+    return joined.select("playlist_id", "track_id", *[scaled(f).alias(f) for f in FEATURES])
 
 
 def z_reasons(z: DataFrame, k: int = 3) -> DataFrame:

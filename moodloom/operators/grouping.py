@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from moodloom.session import settle
 
+#: Pieces of a hot key for each task's share of rows.
+PIECES = 4
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the smallest in ``order``.
@@ -24,6 +27,30 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
 
 
+def hot_join(
+    large: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequence[str], sizes: DataFrame | None = None
+) -> DataFrame:
+    """Inner join of ``large`` with ``one``, which has at most one row per key, so that a
+    key with very many rows does not end in one task.
+
+    A key is hot if it has more than a task's share of ``large``. Its rows are dealt out
+    by a hash of the columns ``spread``, ``PIECES`` to a share so that pieces which meet in a
+    task stay small, and its one row is copied as often. The hot keys are fewer than there
+    are partitions, which bounds what is broadcast; the copies are fewer than 2 x ``PIECES``
+    x partitions. ``sizes`` (keys, n) saves the count where it is known. Rows with a null key
+    join nothing.
+    """
+    if sizes is None:
+        sizes = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // parts))
+    hot = F.broadcast(sizes.where(F.col("n") > share).select(*keys, F.ceil(PIECES * F.col("n") / share).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = large.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts))
+    copies = one.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    return dealt.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"]).drop("_salt")
+
+
 def rank_in_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rn"
 ) -> DataFrame:
