@@ -111,7 +111,7 @@ _GIVEN = "SELECT playlist_id, 9 AS k, track_id, cluster_id AS cid FROM assign"
 
 
 def _given(s):
-    return s.assigned.select(
+    return s.vectors.join(s.assignment, ["playlist_id", "track_id"]).select(
         "playlist_id",
         "track_id",
         "pos",
