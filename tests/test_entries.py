@@ -73,3 +73,13 @@ def test_entries_stay_where_they_lie(spark, done):
         assert cells.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_without_a_cluster(spark):
+    """A null cluster has means and words of its own, its rows stay without a score."""
+    t = [(f"t{i}", audio(energy=i / 9), [("jazz" if i % 2 else "rock", 60)]) for i in range(8)]
+    given_some = lambda lib: given(lib).withColumn("cluster_id", F.when(F.col("track_id") < "t5", F.lit(1)))
+    done = analyze(names(spark, ["p"]), items(spark, {"p": [r[0] for r in t]}), tracks(spark, t), assign=given_some)
+    assert {r.cluster_id for r in done.top_tags.collect()} == {1, None}
+    assert {r.track_id: r.assigned_cluster_id for r in done.tracks.collect()} == {f"t{i}": 1 if i < 5 else None for i in range(8)}
+    assert done.distances.count() == 5
