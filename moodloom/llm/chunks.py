@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import pyarrow.compute as pc
 from moodloom.llm.common import steps
 
 CUT = "\x1f"
+#: Bytes of text whose chunks are looked up at once.
 STEP = 1 << 20
 
 
@@ -33,6 +36,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
 
+def _places(known: dict[str, int], chunks: list[str]) -> np.ndarray:
+    """The number of each chunk, -1 for one that is not known."""
+    return np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+
 class Encoder:
     """Ids of whole texts by way of their distinct chunks.
 
@@ -41,7 +49,8 @@ class Encoder:
     before the first chunk of a text. A worker remembers up to ``remembered``
     distinct chunks over all its tasks, in two halves: when the younger one is full it
     becomes the older one, whose chunks come back as they are met again, so rare chunks
-    go and frequent ones stay.
+    go and frequent ones stay. ``step_bytes`` of text are cut at once: a longer step meets
+    a chunk less often again, and takes more memory.
     """
 
     def __init__(
@@ -52,9 +61,10 @@ class Encoder:
         first: str = "",
         points: bool = False,
         remembered: int = 400_000,
+        step_bytes: int = STEP,
     ):
         self.encode, self.odd, self.cut_odd, self.first, self.points = encode, odd, cut_odd, first, points
-        self.remembered = remembered
+        self.remembered, self.step_bytes = remembered, step_bytes
         self.forget()
 
     def forget(self) -> None:
@@ -70,24 +80,40 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> np.ndarray:
         """Numbers of distinct chunks."""
-        new = [c for c in chunks if c not in self.known]
-        if self.known and len(self.known) + len(new) > self.remembered // 2:
+        number = _places(self.known, chunks)
+        lost = np.flatnonzero(number < 0)
+        if not len(lost):
+            return number
+        if self.known and len(self.known) + len(lost) > self.remembered // 2:
             self.age()
-            new = chunks
-        if new:
-            known, flat, starts, sizes = self.older
-            met = [c for c in new if c in known]
-            fresh = [c for c in new if c not in known] if len(met) < len(new) else []
-            at = np.fromiter(map(known.__getitem__, met), np.int64, len(met))
-            ids = self.encode(fresh)
-            more = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.r_[gather(flat, starts[at], sizes[at]), np.fromiter((i for x in ids for i in x), np.int32, int(more.sum()))]
-            sizes = np.r_[sizes[at], more]
-            self.known.update(zip(met + fresh, range(len(self.known), len(self.known) + len(new))))
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.flat = np.r_[self.flat, flat]
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            lost = np.arange(len(chunks))
+        known, flat, starts, sizes = self.older
+        new = [chunks[i] for i in lost.tolist()] if len(lost) < len(chunks) else chunks
+        at = _places(known, new) if known and known is not self.known else np.full(len(new), -1, np.int64)
+        # Chunks of the older half first, then those that are encoded now.
+        order = np.argsort(at < 0, kind="stable")
+        met = at[order][: int((at >= 0).sum())]
+        new = [new[i] for i in order.tolist()] if len(met) else new
+        ids = self._encoded(new[len(met) :])
+        more = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.r_[gather(flat, starts[met], sizes[met]), np.fromiter(chain.from_iterable(ids), np.int32, int(more.sum()))]
+        sizes = np.r_[sizes[met], more]
+        number[lost[order]] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.flat = np.r_[self.flat, flat]
+        return number
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        """Many small lists come at once; Python would search them for cycles again and again."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encode(chunks)
+        finally:
+            if on:
+                gc.enable()
 
     def step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, self.odd)
@@ -112,6 +138,6 @@ class Encoder:
 
     def __call__(self, texts: pa.Array):
         """(first row, end row, ids, ids per text) of consecutive parts of ``texts``."""
-        for a, b in steps(pc.binary_length(texts).to_numpy(), STEP):
+        for a, b in steps(pc.binary_length(texts).to_numpy(), self.step_bytes):
             yield a, b, *self.step(texts[a:b].cast(pa.large_string()))
         pa.default_memory_pool().release_unused()

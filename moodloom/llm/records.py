@@ -52,6 +52,8 @@ ODD = (
     r"\x{3000}]|^[ \n]|[ \n]$|<\|endoftext\|>"
 )
 READ_BYTES = 8 << 20
+#: Bytes of text that are cut and looked up at once.
+STEP_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -72,7 +74,7 @@ def _encoder(path: str) -> Encoder:
     def encode(chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return Encoder(encode, ODD, lambda text: [text], points=True, remembered=1_000_000)
+    return Encoder(encode, ODD, lambda text: [text], points=True, remembered=1_000_000, step_bytes=STEP_BYTES)
 
 
 def masked(data: bytes) -> int:
