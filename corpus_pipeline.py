@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of every document of the mix."""
-    done = viterbi.encode(docs.select("doc_id", "text"))
+    done = viterbi.encode(docs.select("doc_id", "text"), remember=False)
     return done.select("doc_id", F.col("pieces.n_tokens").alias("n_tokens"), F.col("pieces.ids").alias("ids"))
 
 

@@ -130,9 +130,12 @@ def _loaded(path: str) -> tuple[Pieces, Encoder]:
     return pieces, Encoder(pieces.encode, ODD, cut_words, " ", remembered=REMEMBERED)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", remember: bool = True) -> DataFrame:
     """``docs`` with pieces: struct(n_tokens, ids, ids_crc32, decoded_equal).
 
+    Workers ``remember`` words from task to task, which saves time and holds memory as long
+    as they live, also in the steps of a job that come after.
+
     ``ids_crc32`` is over the ids as little-endian 32-bit integers; ``decoded_equal``
     says that the ids decode to the very text.
     """
@@ -177,6 +180,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         pieces, encoder = _loaded(path)
         for texts in batches:
             yield pieces_of(texts, pieces, encoder)
+        if not remember:
+            encoder.forget()
         give_back()
 
     return docs.withColumn("pieces", all_pieces(F.coalesce(F.col(text), F.lit(""))))

@@ -224,3 +224,27 @@ def test_store_of_two_halves_gives_the_same_ids():
     # A frequent chunk is encoded anew only if it was not met for a whole half.
     assert len([w for w in asked if w.isalpha()]) < 30
     assert np.issubdtype(store.flat.dtype, np.integer)
+
+
+def test_a_longer_step_looks_a_chunk_up_less_often():
+    """The same ids for any length of a step; one step asks for each distinct chunk once."""
+    import pyarrow as pa
+    from moodloom.llm import chunks
+
+    texts = pa.array([f"one two one {i % 3}" for i in range(40)] + ["", "one"])
+    seen = {}
+    for size in (1, 64, 1 << 20):
+        store = chunks.Encoder(lambda words: [[len(w), *map(ord, w)] for w in words], "x^", list, step_bytes=size)
+        learn, looked = store.learn, []
+        store.learn = lambda words: looked.extend(words) or learn(words)
+        parts = [(ids.tolist(), counts.tolist()) for _, _, ids, counts in store(texts)]
+        seen[size] = [i for ids, _ in parts for i in ids], [c for _, counts in parts for c in counts], len(looked)
+    assert seen[1][:2] == seen[64][:2] == seen[1 << 20][:2]
+    assert seen[1 << 20][2] < seen[64][2] < seen[1][2] and seen[1 << 20][2] == 6
+
+
+def test_forgetting_words_after_each_task_changes_no_result(spark):
+    docs = spark.createDataFrame([(i, "ab cd ab " * (i % 4)) for i in range(20)], "doc_id long, text string").repartition(5)
+    kept = viterbi.encode(docs).select("doc_id", "pieces.*")
+    lean = viterbi.encode(docs, remember=False).select("doc_id", "pieces.*")
+    assert sorted(kept.collect()) == sorted(lean.collect())
