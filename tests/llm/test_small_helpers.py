@@ -240,7 +240,7 @@ def test_a_longer_step_looks_a_chunk_up_less_often():
         parts = [(ids.tolist(), counts.tolist()) for _, _, ids, counts in store(texts)]
         seen[size] = [i for ids, _ in parts for i in ids], [c for _, counts in parts for c in counts], len(looked)
     assert seen[1][:2] == seen[64][:2] == seen[1 << 20][:2]
-    assert seen[1 << 20][2] < seen[64][2] < seen[1][2] and seen[1 << 20][2] == 6
+    assert seen[1 << 20][2] < seen[64][2] < seen[1][2] and seen[1 << 20][2] == 7
 
 
 def test_forgetting_words_after_each_task_changes_no_result(spark):
