@@ -111,8 +111,10 @@ _GIVEN = "SELECT playlist_id, 9 AS k, track_id, cluster_id AS cid FROM assign"
 
 
 def _given(s):
-    return s.vectors.join(s.assignment, ["playlist_id", "track_id"]).select(
+    """Vectors with the given clusters, made where the entries of a playlist lie."""
+    return features.transform(s.assigned, s.model, s.hot, ["_salt", "cluster_id"]).select(
         "playlist_id",
+        "_salt",
         "track_id",
         "pos",
         "vec",
@@ -125,7 +127,7 @@ def _given(s):
     sql("SELECT playlist_id, round(score, 6) AS score FROM score", {"pts": _PTS, **_silhouette_sql(_GIVEN)}),
 )
 def k3(s):
-    scores = kmeans.silhouette(_given(s), s.vectors.select("playlist_id", "n"), "euclidean")
+    scores = kmeans.silhouette(_given(s), s.model.select("playlist_id", "n"), "euclidean")
     return scores.select("playlist_id", r6("score").alias("score"))
 
 
@@ -134,7 +136,7 @@ def k3(s):
     sql("SELECT playlist_id, round(score, 6) AS score FROM score", {"pts": _PTS, **_silhouette_sql(_GIVEN, 2)}),
 )
 def k3b(s):
-    scores = kmeans.silhouette(_given(s), s.vectors.select("playlist_id", "n"), "squared")
+    scores = kmeans.silhouette(_given(s).drop("_salt"), s.model.select("playlist_id", "n"), "squared")
     return scores.select("playlist_id", r6("score").alias("score"))
 
 

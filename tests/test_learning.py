@@ -301,3 +301,24 @@ def test_roc_auc_two_ways(spark):
     want = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
     assert models.roc_auc_by_playlist(ranked).first().auc == pytest.approx(want)
     assert models.roc_auc(ranked) == pytest.approx(want)
+
+
+def test_silhouette_of_dealt_rows_equals_the_one_of_all_pairs(spark):
+    """Playlists that lie together are scored there; long, hot, odd ones as before."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for p, n, salt in [("a", 30, 0), ("long", 90, 0), ("hot", 40, 1), ("one", 12, 0), ("each", 6, 0), ("odd", 20, 0)]:
+        for t in range(n):
+            c = {"one": 0, "each": t}.get(p, t % 4)
+            c = None if p == "odd" and t % 5 == 0 else 7 if p == "a" and t == 0 else c
+            place = 0 if not salt else 1 + t % 3
+            rows.append((p, place, t, rng.normal(size=3).tolist(), [(3, c), (4, t % 2)]))
+    kind = "playlist_id string, _salt long, track_id long, vec array<double>, labels array<struct<k: int, cluster_id: int>>"
+    frame = spark.createDataFrame(rows, kind)
+    want = {(r[0], r[1]): r[2] for r in kmeans.silhouette_exact(frame.drop("_salt"), 50).collect()}
+    got = {(r[0], r[1]): r[2] for r in kmeans.silhouette_exact(frame, 50).collect()}
+    assert set(got) == set(want) and ("one", 3) not in want and ("each", 3) not in want
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+    scores, rest = kmeans.silhouette_together(frame, 50)
+    assert {r.playlist_id for r in scores.collect()} == {"a", "one", "each", "odd"}
+    assert {r.playlist_id for r in rest.select("playlist_id").distinct().collect()} == {"long", "hot"}
