@@ -322,3 +322,48 @@ def test_silhouette_of_dealt_rows_equals_the_one_of_all_pairs(spark):
     scores, rest = kmeans.silhouette_together(frame, 50)
     assert {r.playlist_id for r in scores.collect()} == {"a", "one", "each", "odd"}
     assert {r.playlist_id for r in rest.select("playlist_id").distinct().collect()} == {"long", "hot"}
+
+
+def test_equal_vectors_beyond_the_kth_do_not_travel(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.repeat(rng.normal(size=(4, 3)), 600, axis=0)
+    catalog = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(vectors)], "track_id bigint, vec array<double>")
+    queries = spark.createDataFrame(
+        [("p", 0, q, [float(v) for v in vectors[q * 600]]) for q in range(4)], "playlist_id string, part int, qid int, vec array<double>"
+    )
+    # A tenth of all tracks, spread over all vectors.
+    members = spark.createDataFrame([("p", 0, i) for i in range(0, 2400, 10)], "playlist_id string, part int, track_id bigint")
+    index = knn.Index(catalog)
+    got = {(r.qid, r.rn): r.track_id for r in index.nearest(queries, members, 3).collect()}
+    assert got == {(q, n): q * 600 + n for q in range(4) for n in (1, 2, 3)}
+    # The member 0 and the three nearest of each query; 240 and more before.
+    assert index._meet(index.routed).count() <= 4 * 4
+
+
+def test_boxes_leave_out_cells_that_balls_reach(spark):
+    rng = np.random.default_rng(6)
+    # Long thin cells: far from round.
+    vectors = rng.normal(size=(6000, 4)) * [20, 0.1, 0.1, 0.1]
+    vectors[:, 1:] += rng.integers(0, 3, size=(6000, 3)) * 5
+    catalog = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(vectors)], "track_id bigint, vec array<double>")
+    ask = rng.choice(6000, 40, replace=False)
+    queries = spark.createDataFrame(
+        [("p", 0, int(q), [float(v) for v in vectors[q] + 0.01]) for q in ask], "playlist_id string, part int, qid int, vec array<double>"
+    )
+    members = spark.createDataFrame([("p", 0, int(q)) for q in ask], "playlist_id string, part int, track_id bigint")
+    index = knn.Index(catalog)
+    got = {}
+    for r in index.nearest(queries, members, 5).orderBy("qid", "rn").collect():
+        got.setdefault(r.qid, []).append(r.track_id)
+    out = set(ask.tolist())
+    for q in ask.tolist():
+        d = np.round(np.sqrt(((vectors - vectors[q] - 0.01) ** 2).sum(1)), 9)
+        assert got[q] == [int(i) for i in np.lexsort((np.arange(6000), d)) if int(i) not in out][:5]
+    assert index.visited_share() < 0.12
+
+
+def test_places_of_ids_with_nulls():
+    import pyarrow as pa
+
+    ids = pa.array([None, "a", "c"], pa.string())
+    assert knn._up_to(ids, pa.array([None, "a", "b", "d"], pa.string())).tolist() == [1, 2, 2, 3]
