@@ -83,3 +83,32 @@ def test_rows_without_a_cluster(spark):
     assert {r.cluster_id for r in done.top_tags.collect()} == {1, None}
     assert {r.track_id: r.assigned_cluster_id for r in done.tracks.collect()} == {f"t{i}": 1 if i < 5 else None for i in range(8)}
     assert done.distances.count() == 5
+
+
+def test_pieces_grow_with_the_rows_and_the_session_stays(spark, monkeypatch):
+    from moodloom import session
+
+    names_ = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names_]
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    lists = {f"p{i}": list(range(40)) for i in range(5)}
+    songs = tracks(spark, [(t, audio(energy=t / 40), [("a b", 5)]) for t in range(40)])
+    a = analyze(names(spark, lists), items(spark, lists), songs, assign=lambda lib: lib.filter("eligible").select("playlist_id", "track_id", F.lit(0).alias("cluster_id")))
+    assert a.tracks.count() == 200
+    for table in (a.entries, a.assigned, a.distances, a.flagged, a.dealt_tracks):
+        # A bucket's number stands in the names of its files.
+        assert max(int(f.rsplit("_", 1)[1].split(".")[0]) for f in table.inputFiles()) >= 8
+    assert [spark.conf.get(n) for n in names_] == before
+
+
+def test_pages_are_cut_where_the_entries_lie(done):
+    from moodloom.sources.sinks import paged
+
+    keys, order = ["playlist_id", "cluster_id"], [F.asc("pos"), F.asc("track_id")]
+
+    def pages(rows):
+        return paged(rows.filter("cluster_id IS NOT NULL"), keys, order, F.col("track_id"), "l", 7)
+
+    assert sorted(map(repr, pages(done.tracks).collect())) == sorted(map(repr, pages(done.dealt_tracks).collect()))
+    usual = pages(done.dealt_tracks.filter("_salt = 0"))
+    assert usual.count() > 0 and "Exchange" not in usual._jdf.queryExecution().executedPlan().toString()
