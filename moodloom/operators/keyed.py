@@ -72,9 +72,14 @@ class KeyedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*at)
 
-    def replace(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
-        """Store ``rows`` instead of all rows with their keys, and drop the keys in ``gone``."""
-        fresh = settle(rows.select(*self.schema.names, self._bucket()))
+    def replace(self, rows: DataFrame, gone: DataFrame | None = None, settled: bool = False) -> None:
+        """Store ``rows`` instead of all rows with their keys, and drop the keys in ``gone``.
+
+        ``settled`` says that ``rows`` read settled tables where they lie, so they are not written twice.
+        """
+        fresh = rows.select(*self.schema.names, self._bucket())
+        if not settled:
+            fresh = settle(fresh)
         out = fresh.select(*self.keys)
         if gone is not None:
             out = out.unionByName(gone.select(*self.keys))

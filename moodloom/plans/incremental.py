@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodloom.operators.grouping import DEALT, copies
 from moodloom.operators.keyed import KeyedTable
 from moodloom.operators.state import changed_playlists
 from moodloom.plans.pipeline import analyze
@@ -40,9 +41,13 @@ def run(
     done = analyze(of_fetch(playlists), of_fetch(items), tracks, **params)
     out = {}
     for name in results:
-        rows = getattr(done, name).join(fetch, "playlist_id")
+        lying = name == "tracks"
+        if lying:
+            rows = done.dealt_tracks.join(copies(fetch, done.hot), list(DEALT)).drop("_salt")
+        else:
+            rows = getattr(done, name).join(fetch, "playlist_id")
         table = KeyedTable(spark, f"{folder}/{name}", ["playlist_id"], rows.schema, buckets)
-        table.replace(rows, fetch)
+        table.replace(rows, fetch, settled=lying)
         out[name] = table.read()
     seen.replace(news)
     return status, out

@@ -89,3 +89,16 @@ def test_incremental_run(spark, tmp_path):
     # Nothing new: everything is a hit, and the rows are those of before.
     status, again = step({"a": "1", "b": "2", "d": "1"}, {})
     assert {r["status"] for r in status.collect()} == {"hit"} and content(again["summary"]) == content(out["summary"])
+
+
+def test_settled_rows_are_stored_without_a_second_copy(spark, tmp_path, monkeypatch):
+    from moodloom.operators import keyed
+
+    kind = "k bigint, v string"
+    table = keyed.KeyedTable(spark, str(tmp_path / "t"), ["k"], spark.createDataFrame([], kind).schema, 4)
+    table.replace(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], kind))
+    written = []
+    monkeypatch.setattr(keyed, "settle", lambda df, *a: written.append(df.columns) or df)
+    table.replace(spark.createDataFrame([(2, "x"), (None, "n")], kind), spark.createDataFrame([(3,)], "k bigint"), settled=True)
+    assert sorted(map(repr, table.read().collect())) == ["Row(k=1, v='a')", "Row(k=2, v='x')", "Row(k=None, v='n')"]
+    assert written == [["k"]]
