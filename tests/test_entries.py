@@ -112,3 +112,32 @@ def test_pages_are_cut_where_the_entries_lie(done):
     assert sorted(map(repr, pages(done.tracks).collect())) == sorted(map(repr, pages(done.dealt_tracks).collect()))
     usual = pages(done.dealt_tracks.filter("_salt = 0"))
     assert usual.count() > 0 and "Exchange" not in usual._jdf.queryExecution().executedPlan().toString()
+
+
+def given_in_place(rows):
+    return rows.filter("eligible").select(
+        "_salt", "playlist_id", "track_id", (F.abs(F.xxhash64("track_id")) % 3).cast("int").alias("cluster_id")
+    )
+
+
+def test_assignment_of_entries_moves_nothing(spark):
+    """Neither the assignment nor the means of usual playlists take an exchange of entries."""
+    from moodloom import session
+
+    lists = {f"p{i}": list(range(5 * i, 5 * i + 40)) for i in range(8)} | {"long": list(range(80))}
+    songs = tracks(spark, [(t, audio(energy=t / 80), [(f"a{t % 7} b", 60)]) for t in range(80)])
+    args = names(spark, lists), items(spark, lists), songs
+    a, plain = analyze(*args, assign=given_in_place, reads=()), analyze(*args, assign=given)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(a.assignment.select("playlist_id", "track_id", "cluster_id")) == rows(plain.assignment)
+    assert rows(a.tracks) == rows(plain.tracks) and rows(a.flagged) == rows(plain.flagged)
+    assert {r.playlist_id for r in a.hot.collect()} >= {"long"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with session._joined_in_place(spark, True):
+            usual = analysis.cluster_cells(a.cells, a.hot.limit(0))
+            plan = usual._jdf.queryExecution().executedPlan().toString()
+        # The model is all that moves.
+        assert plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
