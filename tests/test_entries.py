@@ -137,7 +137,10 @@ def test_assignment_of_entries_moves_nothing(spark):
         with session._joined_in_place(spark, True):
             usual = analysis.cluster_cells(a.cells, a.hot.limit(0))
             plan = usual._jdf.queryExecution().executedPlan().toString()
-        # The model is all that moves.
+            rows_plan = analysis.track_analysis(a.entries, a.flagged, a.clusters, a.hot)._jdf.queryExecution().executedPlan().toString()
+        # The model is all that moves, and no join sorts the entries.
         assert plan.count("Exchange hashpartitioning") == 1
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+        assert all("track_id" not in line for line in rows_plan.splitlines() if "SortMergeJoin" in line)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
