@@ -144,3 +144,14 @@ def test_assignment_of_entries_moves_nothing(spark):
         assert all("track_id" not in line for line in rows_plan.splitlines() if "SortMergeJoin" in line)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_travel_as_text(spark):
+    rows = [("a", {"r&b": 7, "été": 1, "x\x00y": 12}), ("b", None), ("c", {}), ("d", {"n": None, "m": 2})]
+    df = spark.createDataFrame(rows, "track_id string, tf map<string, bigint>")
+    packed = features._packed(df)
+    assert not any("map" in kind for _, kind in packed.dtypes)
+    back = features._unpacked(packed)
+    assert dict(back.dtypes)["tf"] == "map<string,bigint>" and {r.track_id: r.tf for r in back.collect()} == dict(rows)
+    ordered = spark.sql("SELECT map('b', 1L, 'c', 2L, 'a', 3L) AS tf")
+    assert features._unpacked(features._packed(ordered)).selectExpr("map_keys(tf) AS k").first().k == ["b", "c", "a"]
