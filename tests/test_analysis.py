@@ -222,3 +222,23 @@ def test_pairs_of_a_request_keep_its_order(spark):
     asked = spark.createDataFrame([(1, [7, 3, 7]), (2, [5]), (3, []), (4, None)], "request_id int, playlist_ids array<int>")
     got = sorted(tuple(r) for r in compare.pairs(asked).collect())
     assert got == [(1, 3, 7), (1, 7, 3), (1, 7, 7)]
+
+
+def test_shared_moods_of_requests_in_zones(spark, monkeypatch):
+    """Pairs meet the moods of their playlists without a join; unknown playlists keep a row without a mood."""
+    monkeypatch.setattr(compare, "STEP", 3)
+    shares = {"a": {"x": 0.5, "y": 0.5}, "b": {"x": 0.25, "z": 0.75}, "c": {"z": 1.0}, "d": {}}
+    rows = [(p, m, v, i) for p, have in shares.items() for i, (m, v) in enumerate(have.items(), 1)]
+    dist = spark.createDataFrame(rows, "playlist_id string, mood_label string, proportion double, rank int")
+    lists = [(i, list("abcd")) for i in range(9)] + [(9, ["a"]), (10, ["a", "b", "a"]), (11, []), (None, ["a", "b"])]
+    asked = spark.createDataFrame(lists, "request_id long, playlist_ids array<string>")
+    want = []
+    for r, ids in lists[:-1]:
+        for i, p in enumerate(ids):
+            for q in ids[i + 1 :]:
+                both = [m for m in shares[p] if m in shares[q]]
+                want += [(r, p, q, m, shares[p][m], shares[q][m], 1 - abs(shares[p][m] - shares[q][m])) for m in both] or [(r, p, q, None, None, None, None)]
+    found = compare.compare(dist, asked)
+    cols = ["request_id", "playlist_id_a", "playlist_id_b", "mood_label", "proportion_a", "proportion_b", "similarity"]
+    assert sorted(map(repr, map(tuple, found.select(cols).collect()))) == sorted(map(repr, want))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
