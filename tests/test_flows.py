@@ -172,3 +172,45 @@ def test_insert_only_never_updates(spark):
     old = spark.createDataFrame([("a", "old")], "track_id string, v string")
     new = spark.createDataFrame([("a", 1, "new"), ("b", 2, "y"), ("b", 1, "x")], "track_id string, pos int, v string")
     assert sorted(map(tuple, state.insert_only(old, new, ["pos"]).collect())) == [("a", "old"), ("b", "x")]
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_clusters_are_matched_where_their_candidates_meet(spark, most):
+    """The same pairs as by rounds, with one exchange for clusters of usual size."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(f"p{i % 4}", i % 3, int(c), int(t), float(np.round(rng.random(), 1))) for i in range(12) for c in range(4) for t in rng.choice(9, 4, replace=False)]
+    found = spark.createDataFrame(rows, "playlist_id string, cluster_id int, chunk bigint, track_id bigint, distance double")
+    for size in (1, 2):
+        got = recommend.match_together(found, size, most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, recommend.match(found, size).collect()))
+    if most > 5:
+        assert recommend.match_together(found)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_chunk_vectors_are_made_where_the_entries_lie(s):
+    """The asked vectors of the analysis equal those of the plain steps, and no entry of a usual playlist moves."""
+    chosen = recommend.label_clusters(s.clusters)
+    inside = recommend.members(s.tracks, chosen)
+    plain = recommend.asked_vectors(recommend.chunks(recommend.seeds(inside)), inside, recommend.catalog_vectors(s.source_tracks))
+    rows = lambda df: {(r.playlist_id, r.cluster_id, r.chunk): [round(x, 9) for x in r.vec] for r in df.collect()}
+    assert rows(s.asked) == rows(plain)
+    assert recommend.chunk_vectors_in_place(s.seeded, s.entries, s.source_tracks.union(s.source_tracks), s.hot) is None
+
+
+def test_equal_points_are_searched_once(spark):
+    """Anomalies that name one track, and moods of many playlists, share a search."""
+    from moodloom.operators.knn import Index
+
+    catalog = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "track_id bigint, vec array<double>")
+    rows = spark.createDataFrame([(f"p{p}", 20 + p % 2, True) for p in range(30)], "playlist_id string, track_id bigint, is_anomaly boolean")
+    lib = spark.createDataFrame([(f"p{p}", t) for p in range(30) for t in ([20, 21] if p else range(10, 31))], "playlist_id string, track_id bigint")
+    index = Index(catalog)
+    asked, search = [], index.search
+    index.search = lambda q, n: asked.append(q.count()) or search(q, n)
+    got = {}
+    for r in recommend.lean_in(rows, lib, catalog, 2, index).orderBy("playlist_id", "rn").collect():
+        got.setdefault(r.playlist_id, []).append(r.track_id)
+    assert asked[0] == 2
+    assert got == {"p0": [9, 31]} | {f"p{p}": [22, 19] if p % 2 else [19, 18] for p in range(1, 30)}

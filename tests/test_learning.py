@@ -367,3 +367,38 @@ def test_places_of_ids_with_nulls():
 
     ids = pa.array([None, "a", "c"], pa.string())
     assert knn._up_to(ids, pa.array([None, "a", "b", "d"], pa.string())).tolist() == [1, 2, 2, 3]
+
+
+def test_members_are_left_out_by_asking_again(spark, monkeypatch):
+    """Short queries ask for more, hot playlists are dealt out, and a small catalog runs out."""
+    monkeypatch.setattr(knn, "ASKS", 4)
+    rng = np.random.default_rng(21)
+    cat = np.round(rng.normal(size=(300, 3)), 1)
+    catalog = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cat)], "track_id bigint, vec array<double>")
+    ask = rng.normal(size=(40, 3))
+    who = ["hot"] * 36 + ["all", "all", "few", "few"]
+    near = {int(t) for t in ((cat - ask[38]) ** 2).sum(1).argsort()[:60]}
+    member = {("hot", int(t)) for t in rng.choice(300, 40, replace=False)} | {("all", t) for t in range(298)} | {("few", t) for t in near}
+    queries = spark.createDataFrame([(who[i], 0, i, ask[i].tolist()) for i in range(40)], "playlist_id string, part int, qid int, vec array<double>")
+    members = spark.createDataFrame([(p, 0, t) for p, t in member], "playlist_id string, part int, track_id bigint")
+    got = {}
+    for r in knn_join(queries, knn.Index(catalog, fine=16), members, 3).collect():
+        got.setdefault(r.qid, {})[r.rn] = r.track_id
+    for i in range(40):
+        d = np.round(np.sqrt(((cat - ask[i]) ** 2).sum(1)), 9)
+        order = [int(t) for t in np.lexsort((np.arange(300), d)) if (who[i], int(t)) not in member][:3]
+        assert [got[i][j + 1] for j in range(len(got[i]))] == order
+
+
+def test_what_is_found_moves_once(spark):
+    """Rows of a search go to their playlists and stay there; queries with their vectors move to cells only."""
+    rng = np.random.default_rng(22)
+    catalog = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(500, 3)))], "track_id bigint, vec array<double>")
+    queries = spark.createDataFrame([(f"p{i % 9}", 0, i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 3)))], "playlist_id string, part int, qid int, vec array<double>")
+    members = spark.createDataFrame([(f"p{i % 9}", 0, i) for i in range(90)], "playlist_id string, part int, track_id bigint")
+    index = knn.Index(catalog)
+    asked, seen = [], knn.Index.search
+    index.search = lambda q, n: asked.append(n) or seen(index, q, n)
+    got = index.nearest(queries, members, 4)
+    assert got.count() == 360 and asked[0] == 5
+    assert index._meet(index.routed).count() < 90 * 5 * 3
